@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import bpe, decontaminate, simhash
-from tessella.llm.common import table
+from tessella.llm import bpe, chat, decontaminate, langid, secrets, simhash, sketch, token_scan, toxicity
+from tessella.llm.common import table, written
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: The id after the last of RANKS, free to end documents with.
+END_OF_DOCUMENT = 50256
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,60 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.summary(docs, secrets.find_secrets(docs))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(control).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digest(chat.format_windows(rows, public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs.select("doc_id", "text"), scorer)
+    return scored.select(
+        "doc_id",
+        (toxicity.fold_of(F.col("doc_id")) == 1).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    languages, model = langid.fit_text_model(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "pages"), languages, model)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    stream = written(token_scan.token_stream(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, END_OF_DOCUMENT), "tokens")
+    counts = token_scan.count_tokens(stream, END_OF_DOCUMENT)
+    return token_scan.keyed(counts, stream).select("doc_id", "n_tokens")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketch.edited_and_next(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        sketch.as_text(F.col("sketch")).alias("fingerprint"),
+        sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded=True))
@@ -32,6 +89,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op3_decontaminate": op3_decontaminate,
+        "op4_secrets": op4_secrets,
+        "op5_chat": op5_chat,
+        "op6_toxicity": op6_toxicity,
+        "op7_langid": op7_langid,
+        "op8_token_counts": op8_token_counts,
+        "op9_fingerprints": op9_fingerprints,
         "op10_bpe": op10_bpe,
     }
 
