@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import pick
 
 #: Unicode's White_Space, which the pattern's \s means (Python's own \s has four more).
-SPACE = "[\t-\r \x85\xa0  -     　]"
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: A text of more characters is cut; so is a run of white space of at least LONG_RUN, on
 #: which the pattern's look-ahead would use the stack of the regex engine up.
 LONG_TEXT = 1 << 16

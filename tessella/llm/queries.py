@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, chat, decontaminate, langid, secrets, simhash, sketch, token_scan, toxicity
+from tessella.llm import bpe, chat, decontaminate, html_blocks, langid, secrets, simhash, sketch, token_scan, toxicity
 from tessella.llm.common import table, written
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -21,6 +21,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.summary(decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark")))
@@ -88,6 +92,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_html": op2_html,
         "op3_decontaminate": op3_decontaminate,
         "op4_secrets": op4_secrets,
         "op5_chat": op5_chat,

@@ -23,8 +23,11 @@ BUCKETS, BEGINNINGS = 1 << 18, (4, 5, 6)
 #: The classifier is fitted on at most so many labelled documents of each class (chosen by
 #: a hash of their id), each of at most so many characters, all of at most so many.
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS, MOST_ALL = 2_000, 4_000, 100_000, 24_000_000
-EPOCHS, STEP, SHRINK, START_BIAS, SEED = 12, 0.3, 2e-4, -7.0, 11
+EPOCHS, STEP, SHRINK, START_BIAS, SEED = 40, 0.3, 5e-5, -8.0, 11
 THRESHOLD = 0.7
+#: Sentences that score no more than this add nothing to a document's score: else thousands
+#: of harmless ones would make a very long text toxic.
+FLOOR = 0.003
 
 FOLD = ascii_fold(letters_digits())
 _STOP = np.zeros(256, bool)
@@ -60,6 +63,10 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> Sentences:
     return Sentences(features, first, row[first], starts[first], ends[past - 1] if len(first) else ends, len(offsets) - 1)
 
 
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 0.5 + 0.5 * np.tanh(z / 2)
+
+
 @dataclass
 class Scorer:
     weights: np.ndarray
@@ -70,9 +77,10 @@ class Scorer:
             return np.zeros(0)
         return np.add.reduceat(self.weights[s.features].sum(1, dtype=np.float64), s.first) + self.bias
 
-    def documents(self, s: Sentences, logits: np.ndarray) -> np.ndarray:
-        """The noisy-or; a text without words scores 0."""
-        left = np.bincount(s.row, np.logaddexp(0, logits), s.rows) if len(logits) else np.zeros(s.rows)
+    def documents(self, s: Sentences, logits: np.ndarray, floor: float = 0.0) -> np.ndarray:
+        """The noisy-or of sentences that score over the floor; a text without words scores 0."""
+        each = np.where(logistic(logits) > floor, np.logaddexp(0, logits), 0)
+        left = np.bincount(s.row, each, s.rows) if len(logits) else np.zeros(s.rows)
         return -np.expm1(-left)
 
 
@@ -101,7 +109,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float]) -> Scorer:
             if len(s.first) == 0:
                 continue
             z = scorer.logits(s)
-            p = 1 / (1 + np.exp(-z))
+            p = logistic(z)
             whole = np.clip(scorer.documents(s, z), 1e-6, 1 - 1e-9)
             slope = np.where(y == 1, -np.minimum((1 - whole) / whole, 1e3), 1.0) * c / s.rows
             g = p * slope[s.row]
@@ -167,8 +175,8 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text", located: float =
             for first, past, data, offsets in blocks(batch.column(at)):
                 s = sentences(data, offsets)
                 z = sent.value.logits(s)
-                scores[first:past] = sent.value.documents(s, z)
-                p = 1 / (1 + np.exp(-z))
+                scores[first:past] = sent.value.documents(s, z, FLOOR)
+                p = logistic(z)
                 for i in np.flatnonzero(p >= located).tolist():
                     k = int(s.row[i])
                     own = data[offsets[k] : s.end[i]]

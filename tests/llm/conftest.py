@@ -24,9 +24,10 @@ def docs(spark, sample):
     return spark.createDataFrame(sample, TEXT)
 
 
-def clashing(df):
+def clashing(df, case=True):
     """The same rows with extra columns named as operators name theirs, and one differing in case alone."""
     from pyspark.sql import functions as F
 
     names = ["fingerprint", "component_id", "ids", "n_tokens", "sketch", "spans", "kind", "start", "end", "root", "score", "window", "h", "a", "b", "u", "v", "m"]
-    return df.withColumns({n: F.lit("x") for n in names}).select("*", F.lit(1).alias("TEXT"))
+    wide = df.withColumns({n: F.lit("x") for n in names})
+    return wide.select("*", F.lit(1).alias("TEXT")) if case else wide
