@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the vectorised scans; a single longer text is its own block.
 BLOCK_BYTES = 2 << 20
+#: Bits of ``maybe_in``'s filter (1 MB).
+FILTER_BITS = 1 << 23
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -54,6 +56,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def maybe_in(wanted: DataFrame, hashed: str, bits: int = FILTER_BITS) -> Column:
+    """False for most rows whose hash is not among the wanted: a bitmap of fixed size over their hashes.
+
+    Keeps the shuffle of texts near the wanted ones. With very many wanted rows it lets more
+    through, which the join after it removes. Both tables name the column alike.
+    """
+    words = bits // 64
+    place = F.pmod(F.col(hashed), F.lit(bits))
+    word = F.floor(place / 64)
+    bit = F.expr(f"cast(pmod(pmod(`{hashed}`, {bits}), 64) as int)")
+    set_bits = wanted.groupBy(word.alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
+    every = wanted.sparkSession.range(words).join(set_bits, "id", "left")
+    pairs = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits"))))
+    bitmap = every.agg(F.transform(pairs, lambda x: x["bits"]).alias("bitmap")).scalar()
+    return F.call_function("shiftrightunsigned", F.element_at(bitmap, (word + 1).cast("int")), bit).bitwiseAND(F.lit(1)) == 1
+
+
 def as_bytes(column: pa.Array) -> pa.Array:
     """A text column as UTF-8 binary; null counts as empty."""
     return column.cast(pa.binary()).fill_null(b"")

@@ -17,7 +17,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import pick, written
+from tessella.llm.common import maybe_in, pick, written
 
 
 @dataclass(frozen=True)
@@ -45,8 +45,6 @@ ADDED = (
 )
 RULES = BASE + ADDED
 
-#: Bits of the filter that keeps rows without candidates out of the shuffle of texts (1 MB).
-FILTER_BITS = 1 << 23
 #: A set of literal strings with more members is treated as unknown text.
 MOST_STRINGS = 64
 
@@ -209,7 +207,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "d
         wanted = reduce(DataFrame.unionByName, [candidates(postings, q, by).withColumn("_kind", F.lit(r.kind)) for r, q in indexed.items()])
         wanted = wanted.groupBy(*by).agg(F.collect_set("_kind").alias("_kinds"))
         wanted = written(wanted, "wanted")
-        left, right = rows.where(_maybe_in(wanted)).alias("l"), wanted.alias("r")
+        left, right = rows.where(maybe_in(wanted, "_hash")).alias("l"), wanted.alias("r")
         same = F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) & (F.col("l._hash") == F.col("r._hash"))
         texts = left.join(right, same).select(*[f"l.{c}" for c in rows.columns], "r._kinds")
         texts = written(texts, "candidates")
@@ -218,23 +216,6 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "d
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _maybe_in(wanted: DataFrame) -> Column:
-    """False for most rows that are not wanted: a bitmap of fixed size over their hashes.
-
-    Keeps the shuffle of texts near the wanted ones. With very many wanted rows it lets more
-    through, which the join after it removes.
-    """
-    words = FILTER_BITS // 64
-    place = F.pmod(F.col("_hash"), F.lit(FILTER_BITS))
-    word = F.floor(place / 64)
-    set_bits = wanted.groupBy(word.alias("id")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(pmod(_hash, {FILTER_BITS}), 64) as int)))").alias("bits"))
-    every = wanted.sparkSession.range(words).join(set_bits, "id", "left")
-    pairs = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits"))))
-    bitmap = every.agg(F.transform(pairs, lambda x: x["bits"]).alias("bitmap")).scalar()
-    bit = F.expr(f"cast(pmod(pmod(_hash, {FILTER_BITS}), 64) as int)")
-    return F.call_function("shiftrightunsigned", F.element_at(bitmap, (word + 1).cast("int")), bit).bitwiseAND(F.lit(1)) == 1
-
-
 def summary(docs: DataFrame, spans: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: counts of the base kinds, a digest of base spans, and all spans as a string."""
     order = F.array(*[F.lit(r.kind) for r in rules])

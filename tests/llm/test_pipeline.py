@@ -1,16 +1,17 @@
 """The pipeline's stages against brute force, each over what the stage before it kept."""
 
 import hashlib
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import bpe, secrets, toxicity
+from tessella.llm import bpe, near_copies, secrets, toxicity
 from tests.llm.conftest import clashing
 from tests.llm.test_models import toxic_rows
-from tests.llm.test_ops import PATTERN, RANKS, SECRETS, brute_components, brute_fingerprint, brute_hits, brute_spans, items_for
+from tests.llm.test_ops import PATTERN, RANKS, SECRETS, brute_fingerprint, brute_hits, brute_spans, items_for, lower
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -49,16 +50,12 @@ def test_stages(spark, inputs):
         first = [(k, t) for k, t in rows if k not in bad]
         assert ids_texts(after[0]) == sorted(first, key=str)
         # 2: one of each group
-        prints = [(k, brute_fingerprint(t)) for k, t in first]
-        tagged = [((k is None, k, i), p) for i, (k, p) in enumerate(prints)]
-        groups = {}
-        for (key, _), c, row in zip(tagged, brute_components(tagged_pairs(tagged)), first, strict=True):
-            groups.setdefault(c, []).append((key, row))
         second = ids_texts(after[1])
+        groups = brute_groups(first)
         assert len(second) == len(groups)
-        for members in groups.values():
-            least = min((k for (_, k, _), _ in members if k is not None), default=None)
-            assert sum((k, t) in second for k, t in {row for _, row in members} if k == least) >= 1
+        for members in groups:
+            least = min((k for k, _ in members if k is not None), default=None)
+            assert sum((k, t) in second for k, t in set(members) if k == least) >= 1
         # 3: documents with benchmark passages go
         third = sorted(((k, t) for k, t in second if not brute_hits(t, items)[-1]), key=str)
         assert ids_texts(after[2]) == third and len(third) < len(second)
@@ -76,9 +73,56 @@ def test_stages(spark, inputs):
         assert sorted(((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in after[4].collect()), key=str) == want
 
 
-def tagged_pairs(tagged):
-    """Keys that order as the stage orders: ids before none, then by position."""
-    return [((key[0], key[1] if key[1] is not None else 0, key[2]), p) for key, p in tagged]
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_groups(rows):
+    """Rows (id, text) by the components of: fingerprints within two bits, or 0.8 of all shingles in common."""
+    sets, marks = [shingles(t) for _, t in rows], [brute_fingerprint(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if alike or (marks[i] ^ marks[j]).bit_count() <= 2:
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(find(i), []).append(row)
+    return list(groups.values())
+
+
+def edited(rng, text, changes):
+    w = text.split()
+    for _ in range(changes):
+        w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_near_copies(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["ba", "ko", "li", "mu", "ne", "ta", "ri", "so"]) for _ in range(rng.randint(1, 4)))
+    rows, n = [], 0
+    for _ in range(60):
+        text = " ".join(word() for _ in range(rng.choice([40, 120, 400])))
+        for k in range(rng.choice([1, 2, 4, 30])):
+            rows.append((n, edited(rng, text, rng.randint(0, max(1, len(text.split()) // 45))) if k else text))
+            n += 1
+    rows += [(n, None), (n + 1, ""), (n + 2, "one"), (n + 3, "one"), (n + 4, "a b c d"), (n + 5, "a b c d e"), (None, "one")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in near_copies.one_of_each(docs).collect()}
+    groups = brute_groups(rows)
+    least = {min((k for k, _ in g if k is not None), default=None) for g in groups}
+    assert least <= kept  # nothing is removed that has no copy kept
+    assert len(kept) <= len(least) + 0.02 * len(rows)  # nearly all copies are found
+    assert near_copies.one_of_each(docs.limit(0)).count() == 0
 
 
 def test_run(spark, inputs):
