@@ -7,10 +7,10 @@ and returns a DataFrame; all but the last return the columns of documents, extra
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, decontaminate, secrets, simhash, toxicity
+from tessella.llm import bpe, decontaminate, near_copies, secrets, toxicity
 from tessella.llm.common import table, written
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -25,20 +25,8 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays (an id before none).
-
-    Rows are told apart by id and text, so different texts under one id are linked only if
-    near; of rows equal in both one stays. Empty and null texts are linked like any others.
-    The join and the choice after it use one shuffle of the texts.
-    """
-    body = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"_row": F.xxhash64("doc_id", body), "_text": F.xxhash64(body, "doc_id")})
-    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "_text").alias("key"), "text")
-    found = simhash.near_duplicates(simhash.fingerprints(keyed, "key"), "key")
-    keep = found.where("key = component_id").select("key._row", "key._text").distinct()
-    own = Window.partitionBy("_row", "_text").orderBy(F.xxhash64(*docs.columns))
-    joined = rows.join(keep, ["_row", "_text"]).withColumn("_n", F.row_number().over(own))
-    return joined.where("_n = 1").select(*docs.columns)
+    """Of each group of copies and near copies the document with the least id stays."""
+    return near_copies.one_of_each(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
