@@ -300,7 +300,7 @@ def oracle_sql() -> dict[str, str]:
         "page_margins": f"{_LAYOUT} SELECT doc, page, margin FROM mg",
         "layout_sessionise": f"{_SESSION} SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY no) - 1 AS para_no, is_footnote, n_lines, md5(text) AS text_md5 FROM jo WHERE length(text) > 1",
         "best_candidate": "WITH s AS (SELECT source, doc_id, CASE WHEN regexp_matches(text, '(?i)and|est') AND contains(lower(text), 'the') AND contains(lower(text), 'tion') THEN length(text) ELSE -1 END AS score FROM documents) SELECT source, doc_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) = 1",
-        "first_nonempty_field": "WITH f AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN substr(text, 1, 600) END AS a, CASE WHEN lang <> 'en' THEN text END AS b, text || text || text AS c FROM documents), g AS (SELECT doc_id, CASE WHEN length(a) > 500 THEN 'a' WHEN length(b) > 500 THEN 'b' WHEN length(c) > 500 THEN 'c' END AS text_field, a, b, c FROM f) SELECT doc_id, text_field, length(CASE text_field WHEN 'a' THEN a WHEN 'b' THEN b ELSE c END) AS n_chars FROM g WHERE text_field IS NOT NULL",
+        "first_nonempty_field": "WITH f AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN upper(text) END AS a, CASE WHEN lang <> 'en' THEN text END AS b, text || text || text AS c FROM documents), g AS (SELECT doc_id, CASE WHEN length(a) > 500 THEN 'a' WHEN length(b) > 500 THEN 'b' WHEN length(c) > 500 THEN 'c' END AS text_field, a, b, c FROM f) SELECT doc_id, text_field, length(CASE text_field WHEN 'a' THEN a WHEN 'b' THEN b ELSE c END) AS n_chars FROM g WHERE text_field IS NOT NULL",
         "first_success": "SELECT conv_id AS key, turn AS pos, length(text) AS result FROM conversations WHERE contains(text, 'this') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) = 1",
         "source_priority": "SELECT 'archive' AS origin, count(*) AS n_rows, count(DISTINCT conv_id) AS n_keys, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations UNION ALL SELECT 'pages', count(*), count(DISTINCT doc_id), CAST(sum(length(text)) AS BIGINT) FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM conversations) HAVING count(*) > 0",
         "stance_join": "SELECT source, count(*) AS n, count(*) FILTER (quality = 1) AS pos, count(*) FILTER (quality <> 1) AS neg FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 AND quality IS NOT NULL GROUP BY source",
