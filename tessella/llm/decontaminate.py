@@ -52,8 +52,9 @@ class Windows:
 
     @staticmethod
     def _table(hashes: np.ndarray) -> np.ndarray:
-        seen = np.zeros(1 << 22, bool)
-        seen[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        """Which low bits occur: a first sieve of about sixteen places for each hash."""
+        seen = np.zeros(1 << max(16, (16 * len(hashes)).bit_length()), bool)
+        seen[_low(hashes, seen)] = True
         return seen
 
     def find(self, words: np.ndarray, n: int) -> np.ndarray:
@@ -61,12 +62,16 @@ class Windows:
         if len(words) < n:
             return np.zeros(0, np.int64)
         h = rolled(words, n)
-        maybe = np.flatnonzero(self.seen[n][(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        maybe = np.flatnonzero(self.seen[n][_low(h, self.seen[n])])
         at = np.searchsorted(self.hashes[n], h[maybe])
         at[at == len(self.hashes[n])] = 0
         return maybe[self.hashes[n][at] == h[maybe]]
 
 
+def _low(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(len(table) - 1)).astype(np.int64)
+
+
 def rolled(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n words in a row."""
     out = np.zeros(max(len(words) - n + 1, 0), np.uint64)

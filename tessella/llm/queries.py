@@ -108,8 +108,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+def _secret_sql() -> str:
+    """Places of matches from the lengths of the parts between them; letters in either case as classes."""
+    words = "password|passwd|secret|token|api_?key"
+    either = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+    patterns = [(r, r.pattern.replace("(?i)", "").replace(words, either).replace("'", "''")) for r in secrets.RULES]
+    found = " UNION ALL ".join(
+        f"SELECT n, t, {k} AS rank, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, '{p}') AS gap, regexp_extract_all(t, '{p}') AS hit, regexp_extract_all(t, '{p}', {r.group}) AS own FROM d"
+        for k, (r, p) in enumerate(patterns)
+    )
+    counts = ", ".join(f"CAST(count(s) FILTER (kind = '{r.kind}') AS BIGINT) AS n_{r.kind}" for r in secrets.BASE)
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS n FROM documents),
+        f AS ({found}),
+        m AS (SELECT n, rank, kind, least, length(own[i]) AS size, length(hit[i]) AS len,
+              list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0) AS s FROM f, LATERAL unnest(range(1, len(hit) + 1)) AS u(i)),
+        k AS (SELECT n, rank, kind, CAST(s AS BIGINT) AS s, CAST(s + len AS BIGINT) AS e FROM m WHERE size >= least)
+        SELECT doc_id, {counts}, sha256(coalesce({listed} FILTER (rank < {len(secrets.BASE)}), '')) AS base_sha256, coalesce({listed}, '') AS spans
+        FROM d LEFT JOIN k USING (n) GROUP BY n, doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_secrets": _secret_sql(),
         "op3_decontaminate": f"""
             WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
             b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
