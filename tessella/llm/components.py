@@ -9,6 +9,8 @@ from tessella.llm.common import checkpoint
 
 #: Steps double the reach of labels; so many are enough for chains far beyond any real input.
 MAX_STEPS = 64
+#: Links of a partition, roughly: few links are kept in few partitions, whatever the session's number.
+LINKS_A_PART = 250_000
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,8 +27,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     edges = checkpoint(edges)
     state = _state(edges)
+    parts = max(1, -(-state[0] // LINKS_A_PART))
     for _ in range(MAX_STEPS):
-        edges = checkpoint(_small_star(_large_star(edges)))
+        far = _large_star(edges.coalesce(parts)).coalesce(parts)
+        edges = checkpoint(_small_star(far).coalesce(parts))
         if (now := _state(edges)) == state:
             break
         state = now
@@ -48,7 +52,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     far = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
     alone = edges.where("hi = lo")
-    return far.unionByName(alone).distinct()
+    return far.unionByName(alone)  # the next step makes them distinct
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import blocks, maybe_in, mixed, pick, word_bounds, word_hashes, written
-from tessella.llm.components import components
+from tessella.llm.components import LINKS_A_PART, components
 from tessella.llm.decontaminate import rolled
 from tessella.llm.simhash import fingerprints, masks, near_duplicates
 
@@ -29,7 +29,7 @@ PRINT_WIDTH, BITS, TABLES, RADIUS = 2, 30, 7, 2
 #: A candidate pair that differs in more than this share of all bits is no near copy and isn't read.
 FAR = 0.21
 #: Keys on one variant that are candidates to each other: so many neighbours in order. Rounds of ``groups``.
-NEIGHBOURS, ROUNDS = 8, 3
+NEIGHBOURS, ROUNDS = 8, 2
 
 _SALTS = [np.uint64(0x9AE16A3B2F90404F * (2 * k + 1) % 2**64) for k in range(-(-TABLES // (64 // BITS)))]
 #: Words are runs of anything but ASCII white space, A-Z lower-cased.
@@ -145,6 +145,7 @@ def groups(made: DataFrame, rows: DataFrame, key: str, text: str = "text") -> Da
     left after the rounds is verified all.
     """
     rest = written(candidates(made, key), "candidates")
+    parts = max(1, -(-rest.count() // LINKS_A_PART))
     nodes = written(rest.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "nodes")
     sets = written(shingle_sets(nodes, rows, key, text), "sets")
     done = None
@@ -153,15 +154,15 @@ def groups(made: DataFrame, rows: DataFrame, key: str, text: str = "text") -> Da
         if not last:
             both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
             best = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("n")).select("a", "n.b")
-            pairs = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+            pairs = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(parts), "pairs")
         good = verified(pairs, sets, key)
         done = written(good if done is None else done.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(good), "links")
-        done = written(components(done), "groups")
+        done = written(components(done).coalesce(parts), "groups")
         if last:
             break
         a, b = done.select(F.col("node").alias("a"), F.col("root").alias("_a")), done.select(F.col("node").alias("b"), F.col("root").alias("_b"))
         left = rest.join(pairs, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-        rest = written(left.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b", "d"), "candidates")
+        rest = written(left.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b", "d").coalesce(parts), "candidates")
         if rest.isEmpty():
             break
     return done
