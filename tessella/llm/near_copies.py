@@ -1,13 +1,14 @@
-"""Near copies by SimHash ball hashing over several short fingerprints, verified shingle by shingle.
+"""Near copies: all texts that share 0.8 of their five-word shingles, found by prefix filtering.
 
-Texts that share 0.8 of their five-word shingles differ in more bits of one long fingerprint
-than a ball can cover, but in few of a short one. Each text has several fingerprints of 30
-bits; each emits its variants within half the radius; texts that meet on a variant are
-candidates, and a candidate pair is a link if its shingle sets are that alike.
+A text's prefix is a fifth of its shingles, and one more, those first in an order that is the
+same for all texts. Two texts that alike share a shingle of both their prefixes, wherever
+they differ; so texts that meet on one are candidates, and none is lost. A candidate pair is
+a link if its shingle sets are that alike.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,23 +16,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, maybe_in, mixed, pick, word_bounds, word_hashes, written
-from tessella.llm.components import LINKS_A_PART, components
+from tessella.llm.common import blocks, maybe_in, pick, word_bounds, word_hashes, written
+from tessella.llm.components import components
 from tessella.llm.decontaminate import rolled
-from tessella.llm.simhash import fingerprints, masks, near_duplicates
+from tessella.llm.simhash import fingerprints, near_duplicates
 
 #: Words of a shingle and the share of shingles in common that make a near copy.
 WIDTH, SIMILARITY = 5, 0.8
-#: Words of a fingerprint's shingle, its bits, how many there are, and differing bits that make a
-#: candidate. On texts with one word in forty changed, nearly all pairs meet in some table.
-#: Chance meetings grow with the texts: choose more bits, and more tables, for billions.
-PRINT_WIDTH, BITS, TABLES, RADIUS = 2, 30, 7, 2
-#: A candidate pair that differs in more than this share of all bits is no near copy and isn't read.
-FAR = 0.21
-#: Keys on one variant that are candidates to each other: so many neighbours in order. Rounds of ``groups``.
-NEIGHBOURS, ROUNDS = 8, 2
-
-_SALTS = [np.uint64(0x9AE16A3B2F90404F * (2 * k + 1) % 2**64) for k in range(-(-TABLES // (64 // BITS)))]
+#: Texts on one shingle of which all are candidates at once; more are first put in an order that has rare ones first.
+FEW = 16
+#: Rounds in which each text is compared with one other, before all that are still apart.
+ROUNDS = 3
+
 #: Words are runs of anything but ASCII white space, A-Z lower-cased.
 FOLD = np.arange(256).astype(np.uint8)
 FOLD[65:91] += 32
@@ -48,69 +44,87 @@ def _words(column: pa.Array) -> Iterator[np.ndarray]:
         yield from np.split(hashes, np.searchsorted(starts, offsets[1:-1])) if to - at > 1 else [hashes]
 
 
-def print_words(words: np.ndarray) -> list[int]:
-    """A text's fingerprints, packed in signed 64-bit integers."""
-    h = rolled(words, min(PRINT_WIDTH, len(words)))
-    total = np.zeros(64 * len(_SALTS), np.int64)
-    for at in range(0, len(h), 1 << 14):
-        own = np.stack([mixed(h[at : at + (1 << 14)] ^ s) for s in _SALTS], 1)
-        total += np.unpackbits(np.ascontiguousarray(own).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * total > len(h), bitorder="little").view("<i8").tolist()
+def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The sorted hashes of a text's shingles; fewer words than ``width`` are one."""
+    return np.unique(rolled(words, min(width, len(words)))) if len(words) else np.zeros(0, np.uint64)
+
 
+def _least(n: Column) -> Column:
+    """How many of a text's ``n`` shingles a near copy has at least. Rounding never makes it more."""
+    return F.ceil(n * SIMILARITY - 1e-6)
 
-def prints(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, prints): texts without words have none and are left out."""
+
+def prefixes(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, n, prefix): the number of shingles and the prefix in the order of hashes; no words, no row."""
     own = pick(rows, key, text)
     kind = own.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [print_words(w) if len(w) else None for w in _words(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int64()))], names=[key, "prints"])
+            sizes, got = [], []
+            for words in _words(batch.column(1)):
+                own = shingles(words)
+                sizes.append(len(own))
+                got.append(own[: len(own) - math.ceil(len(own) * SIMILARITY - 1e-6) + 1].view(np.int64) if len(own) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=[key, "n", "prefix"])
+
+    return own.mapInArrow(run, f"`{key}` {kind}, n bigint, prefix array<bigint>").where("prefix is not null")
 
-    return own.mapInArrow(run, f"`{key}` {kind}, prints array<bigint>").where("prints is not null")
 
+def shared(made: DataFrame, key: str) -> DataFrame:
+    """(s, x, n, c): for each shingle that several prefixes have, those texts, their sizes and number."""
+    own = made.select(F.explode("prefix").alias("s"), F.col(key).alias("x"), "n")
+    several = own.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    return own.join(several, "s").select("s", "x", "n", "c")
 
-def candidates(made: DataFrame, key: str) -> DataFrame:
-    """(a, b, d), a < b: keys whose fingerprints of some table are within the radius, and in how many
-    of all bits they differ, without those far apart.
 
-    Equal fingerprints of a table have two bearers, their least and greatest key, to which the
-    others are candidates; the least one emits variants. So a variant is met by BITS + 1 keys
-    at most, of which neighbours in order are candidates: no group makes pairs of all with all.
+def rare_first(rows: DataFrame, nodes: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(s, x, n): the shared shingles of the nodes' prefixes in the order of how many nodes have one, then of hashes.
+
+    Shingles of a passage that many nodes have come last, so texts that share no more than it
+    meet on none. Shingles of a single node are the first of a prefix.
     """
-    own = made.select(key, F.explode(F.array(*[_table(t) for t in range(TABLES)])).alias("print"))
-    bearers = own.groupBy("print").agg(F.min(key).alias("a"), F.max(key).alias("z"))
-    stars = own.join(bearers.where("a < z"), "print").select(F.explode(F.array("a", "z")).alias("x"), F.col(key).alias("y"))
-    flips = F.array(*map(F.lit, [m for m in masks(RADIUS // 2) if 0 <= m < 1 << BITS]))
-    variants = bearers.select("a", "print", F.explode(flips).alias("m")).select("a", F.col("print").bitwiseXOR(F.col("m")).alias("v"))
-    meet = Window.partitionBy("v").orderBy("a")
-    met = variants.select("v", "a", F.lag("a").over(meet).alias("l"), F.lead("a").over(meet).alias("r")).where("l is not null or r is not null")
-    near = F.array(*[F.lag("a", k).over(meet) for k in range(1, NEIGHBOURS + 1)])
-    chain = met.select(near.alias("n"), F.col("a").alias("y")).select(F.explode(F.filter("n", lambda x: x.isNotNull())).alias("x"), "y")
-    pairs = stars.unionByName(chain).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    p, q = made.select(F.col(key).alias("a"), F.col("prints").alias("_p")), made.select(F.col(key).alias("b"), F.col("prints").alias("_q"))
-    bits = F.aggregate(F.zip_with("_p", "_q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return pairs.join(p, "a").join(q, "b").select("a", "b", bits.alias("d")).where(F.col("d") <= int(FAR * 64 * len(_SALTS)))
-
-
-def _table(t: int) -> Column:
-    per = 64 // BITS
-    word = F.col("prints")[t // per]
-    return F.shiftrightunsigned(word, BITS * (t % per)).bitwiseAND(F.lit((1 << BITS) - 1)).bitwiseOR(F.lit(t << BITS))
+    sets = shingle_sets(nodes, rows, key, text)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = np.frombuffer(own.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([x] * len(s)), pa.array(np.full(len(s), len(s)))], names=["s", "x", "n"])
+
+    every = written(sets.mapInArrow(run, f"s bigint, x {kind}, n bigint"), "shingles")
+    several = every.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    own = Window.partitionBy("x")
+    alone = F.col("n") - F.count("*").over(own)
+    at = alone + F.row_number().over(own.orderBy("c", "s"))
+    return every.join(several, "s").withColumn("at", at).where(F.col("at") <= F.col("n") - _least(F.col("n")) + 1).select("s", "x", "n")
+
+
+def possible(pairs: DataFrame, made: DataFrame, key: str) -> DataFrame:
+    """(a, b): the pairs whose sizes and prefixes allow them to be that alike.
+
+    What two texts share is in both prefixes or past the end of the one that ends first.
+    """
+    p = made.select(F.col(key).alias("a"), F.col("n").alias("_n"), F.col("prefix").alias("_p"))
+    q = made.select(F.col(key).alias("b"), F.col("n").alias("_m"), F.col("prefix").alias("_q"))
+    n, m = F.col("_n"), F.col("_m")
+    most = F.size(F.array_intersect("_p", "_q")) + F.greatest(n - F.size("_p"), m - F.size("_q"))
+    alike = (F.least(n, m) >= _least(F.greatest(n, m))) & (most >= F.ceil((n + m) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6))
+    return pairs.join(p, "a").join(q, "b").where(alike).select("a", "b")
 
 
 def shingle_sets(nodes: DataFrame, rows: DataFrame, key: str, text: str = "text", width: int = WIDTH) -> DataFrame:
     """(key, _set): the sorted hashes of the nodes' shingles; fewer words than ``width`` are one shingle.
 
-    Only the nodes' texts are shuffled. Keys are hashes of rows; rows equal in both have one set.
+    Only the nodes' texts are shuffled. Keys are hashes of texts; equal texts have one set.
     """
-    own = pick(rows, key, text).where(maybe_in(nodes, key)).join(nodes, key, "left_semi").dropDuplicates([key])
+    own = pick(rows, key, text).where(maybe_in(nodes, key)).dropDuplicates([key]).join(nodes, key, "left_semi")
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [np.unique(rolled(w, min(width, len(w)))).tobytes() if len(w) else b"" for w in _words(batch.column(1))]
+            got = [shingles(w, width).tobytes() for w in _words(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=[key, "_set"])
 
     return own.mapInArrow(run, f"`{key}` {kind}, _set binary")
@@ -137,35 +151,65 @@ def verified(pairs: DataFrame, sets: DataFrame, key: str, similarity: float = SI
     return pairs.join(a, "a").join(b, "b").select("a", "b", "_x", "_y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def groups(made: DataFrame, rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(node, root): the components of all candidate pairs that verify.
+def groups(made: DataFrame, rows: DataFrame, key: str, text: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """(node, root): the components of all pairs of near copies, and of the known links (a, b).
 
-    In a round each node's nearest candidate is verified, then pairs inside one component
-    are done with; so a dense group verifies about as many pairs as it has members. What is
-    left after the rounds is verified all.
+    In a round each text that meets texts of other components is verified with one of those,
+    the one it meets most often of one for each shingle; so a dense group verifies about as
+    many pairs as it has members. Then all pairs that meet and are still apart are verified.
+    Where many meet on one shingle, they are dealt anew with rare shingles first.
     """
-    rest = written(candidates(made, key), "candidates")
-    parts = max(1, -(-rest.count() // LINKS_A_PART))
-    nodes = written(rest.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "nodes")
-    sets = written(shingle_sets(nodes, rows, key, text), "sets")
-    done = None
-    for last in [False] * ROUNDS + [True]:
-        pairs = rest.select("a", "b")
-        if not last:
-            both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-            best = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("n")).select("a", "n.b")
-            pairs = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(parts), "pairs")
-        good = verified(pairs, sets, key)
-        done = written(good if done is None else done.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(good), "links")
-        done = written(components(done).coalesce(parts), "groups")
-        if last:
-            break
-        a, b = done.select(F.col("node").alias("a"), F.col("root").alias("_a")), done.select(F.col("node").alias("b"), F.col("root").alias("_b"))
-        left = rest.join(pairs, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-        rest = written(left.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b", "d").coalesce(parts), "candidates")
-        if rest.isEmpty():
+    met = written(shared(made, key), "shared")
+    done = None if known is None else written(known, "known")
+    left = met
+    for n in range(ROUNDS + 1):
+        if done is not None:
+            done = written(components(done), "groups")
+            left = _apart(left.select("s", "x", "n", "c"), done)
+        else:
+            left = left.withColumn("root", F.col("x"))
+        left = written(left, "apart")
+        if left.isEmpty():
+            return done if done is not None else _none(made, key)
+        if n == ROUNDS:
             break
-    return done
+        hubs = left.groupBy("s").agg(F.min_by(F.struct("x", "root"), F.xxhash64("x", F.lit(n))).alias("h"))
+        star = left.join(hubs, "s").where("root <> h.root").groupBy("x", F.col("h.x").alias("y")).agg(F.count("*").alias("k"))
+        best = star.groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
+        done = _linked(done, best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), made, rows, key, text)
+    meet = left.where(F.col("c") <= FEW).select("s", "x", "n", "root")
+    many = left.where(F.col("c") > FEW)
+    if not many.isEmpty():
+        nodes = written(many.select(F.col("x").alias(key)).distinct(), "nodes")
+        anew = _apart(rare_first(rows, nodes, key, text), done)
+        # the same shingle may be met in both orders
+        meet = meet.withColumn("o", F.lit(0)).unionByName(anew.withColumn("o", F.lit(1)))
+    else:
+        meet = meet.withColumn("o", F.lit(0))
+    meet = written(meet, "meet")
+    p, q = meet.toDF("s", "a", "n", "r", "o"), meet.toDF("s", "b", "m", "t", "o")
+    size = F.least("n", "m") >= _least(F.greatest("n", "m"))
+    pairs = p.join(q, ["s", "o"]).where((F.col("a") < F.col("b")) & (F.col("r") != F.col("t")) & size).select("a", "b").distinct()
+    return components(_linked(done, pairs, made, rows, key, text))
+
+
+def _apart(met: DataFrame, done: DataFrame) -> DataFrame:
+    """``met`` with each text's root, without the shingles that only one component has."""
+    rooted = met.join(done.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    several = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return rooted.join(several.select("s"), "s", "left_semi").select("s", "x", "n", *[c for c in met.columns if c == "c"], "root")
+
+
+def _linked(done: DataFrame | None, pairs: DataFrame, made: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(a, b): what is done, and the pairs that verify."""
+    pairs = written(possible(pairs, made, key), "pairs")
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "nodes")
+    good = verified(pairs, shingle_sets(nodes, rows, key, text), key)
+    return written(good if done is None else done.toDF("a", "b").unionByName(good), "links")
+
+
+def _none(made: DataFrame, key: str) -> DataFrame:
+    return made.select(F.col(key).alias("node"), F.col(key).alias("root")).limit(0)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,7 +226,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     whole = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_row", "_text")
     found = near_duplicates(fingerprints(rows.select(whole.alias("key"), text), "key"), "key")
     first = written(found.where("key = component_id").select("key").distinct().select("key", "key._row", "key._text"), "first")
-    made = written(prints(rows, "_row", text).join(first.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]), "prints")
+    made = written(prefixes(rows, "_row", text).join(first.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]), "prefixes")
     near = groups(made, rows, "_row", text)
     grouped = first.join(near, F.col("_row") == F.col("node"))
     least = grouped.groupBy("root").agg(F.min("key").alias("least"))
