@@ -38,3 +38,23 @@ def on_template(rng, texts, template, own):
 def test_template(spark):
     rows = on_template(random.Random(1), 250, 160, 40)
     assert 150 < len(whole(spark, rows)) <= 250
+
+
+def contiguous(rng, words):
+    """(kind, a, b): pairs that are 0.8 to 0.84 alike, by one edit in one place."""
+    text = vocabulary(rng, words)
+    more, less, block = int(words * rng.uniform(0.19, 0.24)), int(words * rng.uniform(0.16, 0.19)), int(words * rng.uniform(0.06, 0.08))
+    at = rng.randrange(words - block)
+    for kind, other in (("appended", text + vocabulary(rng, more)), ("cut", text[: words - less]), ("replaced", text[:at] + vocabulary(rng, block) + text[at + block :])):
+        if similarity(a := " ".join(text), b := " ".join(other)) >= 0.8:
+            yield kind, a, b
+        text = vocabulary(rng, words)
+
+
+def test_contiguous_edits(spark):
+    rng = random.Random(2)
+    pairs = [p for _ in range(40) for p in contiguous(rng, rng.choice([200, 400]))]
+    fresh = [(similarity(a, b), a, b) for _, a, b in pairs]
+    fresh = [(a, b) for s, a, b in fresh if 0.8 <= s < 0.88]
+    assert len(fresh) >= 30
+    assert len(whole(spark, list(enumerate(t for p in fresh for t in p)))) == len(fresh)
