@@ -218,17 +218,18 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Linked are texts whose long fingerprints are within their radius (see ``simhash``) and
     near copies; a group is all that links reach. Rows are told apart by key and text, so
     different texts under one key are linked only if alike, and of rows equal in both one
-    stays. Null texts count as empty. All columns are kept. Near copies are sought among one
-    text of each group that the long fingerprints make.
+    stays. Null texts count as empty. All columns are kept. Near copies are sought among all
+    distinct texts, each known by a hash of 64 bits.
     """
     body = F.coalesce(text, F.lit(""))
-    rows = docs.withColumns({"_row": F.xxhash64(key, body), "_text": F.xxhash64(body, key)})
-    whole = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_row", "_text")
-    found = near_duplicates(fingerprints(rows.select(whole.alias("key"), text), "key"), "key")
-    first = written(found.where("key = component_id").select("key").distinct().select("key", "key._row", "key._text"), "first")
-    made = written(prefixes(rows, "_row", text).join(first.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]), "prefixes")
-    near = groups(made, rows, "_row", text)
-    grouped = first.join(near, F.col("_row") == F.col("node"))
+    rows = docs.withColumns({"_row": F.xxhash64(key, body), "_text": F.xxhash64(body, key), "_body": F.xxhash64(body)})
+    whole = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_row", "_text", "_body")
+    found = written(near_duplicates(fingerprints(rows.select(whole.alias("key"), text), "key"), "key"), "found")
+    first = found.where("key = component_id").select("key").distinct().select("key", "key._row", "key._text", "key._body")
+    known = found.select(F.col("key._body").alias("a"), F.col("component_id._body").alias("b")).where("a <> b").distinct()
+    made = written(prefixes(rows, "_body", text).dropDuplicates(["_body"]), "prefixes")
+    near = groups(made, rows, "_body", text, known)
+    grouped = first.join(near, F.col("_body") == F.col("node"))
     least = grouped.groupBy("root").agg(F.min("key").alias("least"))
     others = grouped.join(least, "root").where("key <> least").select("_row", "_text")
     keep = first.select("_row", "_text").join(others, ["_row", "_text"], "left_anti")

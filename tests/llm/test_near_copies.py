@@ -58,3 +58,22 @@ def test_contiguous_edits(spark):
     fresh = [(a, b) for s, a, b in fresh if 0.8 <= s < 0.88]
     assert len(fresh) >= 30
     assert len(whole(spark, list(enumerate(t for p in fresh for t in p)))) == len(fresh)
+
+
+def drifting(rng):
+    """Versions in a chain of long-fingerprint links, and a near copy of the last one that is none of the first."""
+    chain = [" ".join(vocabulary(rng, 300))]
+    while similarity(chain[0], chain[-1]) > 0.75:
+        new = edited(rng, chain[-1], 1)
+        if (brute_fingerprint(new) ^ brute_fingerprint(chain[-1])).bit_count() <= 2:
+            chain.append(new)
+    while True:
+        new = edited(rng, chain[-1], 8)
+        if similarity(chain[-1], new) >= 0.8 > similarity(chain[0], new) and min((brute_fingerprint(new) ^ brute_fingerprint(t)).bit_count() for t in chain) > 2:
+            return [*chain, new]
+
+
+def test_links_of_any_member(spark):
+    rng = random.Random(3)
+    rows = [t for _ in range(3) for t in drifting(rng)]
+    assert len(whole(spark, list(enumerate(rows)))) == 3
