@@ -77,3 +77,9 @@ def test_links_of_any_member(spark):
     rng = random.Random(3)
     rows = [t for _ in range(3) for t in drifting(rng)]
     assert len(whole(spark, list(enumerate(rows)))) == 3
+
+
+def test_full_bucket(spark):
+    """All meet on shingles of the template, whatever the order, for there are too few others."""
+    rows = on_template(random.Random(4), 60, 180, 26)
+    assert 30 < len(whole(spark, rows)) <= 60
