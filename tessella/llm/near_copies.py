@@ -23,10 +23,11 @@ from tessella.llm.simhash import fingerprints, near_duplicates
 
 #: Words of a shingle and the share of shingles in common that make a near copy.
 WIDTH, SIMILARITY = 5, 0.8
-#: Texts on one shingle of which all are candidates at once; more are first put in an order that has rare ones first.
-FEW = 16
+#: Prefixes that may have one shingle before it is put late in the order, how often the order is
+#: looked over, and the most shingles put late. Any order finds all; a good one has few texts meet.
+FEW, LOOKS, MOST_LATE = 16, 2, 200_000
 #: Rounds in which each text is compared with one other, before all that are still apart.
-ROUNDS = 3
+ROUNDS = 2
 
 #: Words are runs of anything but ASCII white space, A-Z lower-cased.
 FOLD = np.arange(256).astype(np.uint8)
@@ -54,16 +55,27 @@ def _least(n: Column) -> Column:
     return F.ceil(n * SIMILARITY - 1e-6)
 
 
-def prefixes(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, n, prefix): the number of shingles and the prefix in the order of hashes; no words, no row."""
+def prefixes(rows: DataFrame, key: str, text: str = "text", late: np.ndarray | None = None) -> DataFrame:
+    """(key, n, prefix): the number of shingles and the prefix; no words, no row.
+
+    The order is that of hashes, then the shingles of ``late`` in theirs.
+    """
     own = pick(rows, key, text)
     kind = own.schema[key].dataType.simpleString()
+    late = np.zeros(0, np.uint64) if late is None else late
+    by_hash = np.argsort(late)
+    sent = rows.sparkSession.sparkContext.broadcast((late[by_hash], by_hash))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late, rank = sent.value
         for batch in batches:
             sizes, got = [], []
             for words in _words(batch.column(1)):
                 own = shingles(words)
+                if len(late):
+                    at = np.minimum(np.searchsorted(late, own), len(late) - 1)
+                    is_late = late[at] == own
+                    own = np.concatenate([own[~is_late], own[is_late][np.argsort(rank[at[is_late]])]])
                 sizes.append(len(own))
                 got.append(own[: len(own) - math.ceil(len(own) * SIMILARITY - 1e-6) + 1].view(np.int64) if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=[key, "n", "prefix"])
@@ -72,33 +84,28 @@ def prefixes(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def shared(made: DataFrame, key: str) -> DataFrame:
-    """(s, x, n, c): for each shingle that several prefixes have, those texts, their sizes and number."""
+    """(s, x, n): for each shingle that several prefixes have, those texts and their sizes."""
     own = made.select(F.explode("prefix").alias("s"), F.col(key).alias("x"), "n")
     several = own.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    return own.join(several, "s").select("s", "x", "n", "c")
+    return own.join(several.select("s"), "s")
 
 
-def rare_first(rows: DataFrame, nodes: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(s, x, n): the shared shingles of the nodes' prefixes in the order of how many nodes have one, then of hashes.
+def crowded(rows: DataFrame, key: str, text: str = "text") -> np.ndarray:
+    """Shingles that more than a few prefixes have, those that most have last.
 
-    Shingles of a passage that many nodes have come last, so texts that share no more than it
-    meet on none. Shingles of a single node are the first of a prefix.
+    With these late in the order, unlike texts with a passage in common don't meet on it.
     """
-    sets = shingle_sets(nodes, rows, key, text)
-    kind = rows.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = np.frombuffer(own.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([x] * len(s)), pa.array(np.full(len(s), len(s)))], names=["s", "x", "n"])
-
-    every = written(sets.mapInArrow(run, f"s bigint, x {kind}, n bigint"), "shingles")
-    several = every.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    own = Window.partitionBy("x")
-    alone = F.col("n") - F.count("*").over(own)
-    at = alone + F.row_number().over(own.orderBy("c", "s"))
-    return every.join(several, "s").withColumn("at", at).where(F.col("at") <= F.col("n") - _least(F.col("n")) + 1).select("s", "x", "n")
+    found: dict[int, int] = {}
+    for _ in range(LOOKS):
+        late = np.array(sorted(found, key=lambda x: (found[x], x)), np.int64).view(np.uint64)
+        own = prefixes(rows, key, text, late).select(F.explode("prefix").alias("s"))
+        most = own.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > FEW).orderBy(F.desc("c"), "s").limit(MOST_LATE // LOOKS)
+        got = most.toArrow()
+        for x, c in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+            found[x] = max(c, found.get(x, 0))
+        if len(found) == len(late):
+            break
+    return np.array(sorted(found, key=lambda x: (found[x], x)), np.int64).view(np.uint64)
 
 
 def possible(pairs: DataFrame, made: DataFrame, key: str) -> DataFrame:
@@ -157,7 +164,6 @@ def groups(made: DataFrame, rows: DataFrame, key: str, text: str = "text", known
     In a round each text that meets texts of other components is verified with one of those,
     the one it meets most often of one for each shingle; so a dense group verifies about as
     many pairs as it has members. Then all pairs that meet and are still apart are verified.
-    Where many meet on one shingle, they are dealt anew with rare shingles first.
     """
     met = written(shared(made, key), "shared")
     done = None if known is None else written(known, "known")
@@ -165,7 +171,7 @@ def groups(made: DataFrame, rows: DataFrame, key: str, text: str = "text", known
     for n in range(ROUNDS + 1):
         if done is not None:
             done = written(components(done), "groups")
-            left = _apart(left.select("s", "x", "n", "c"), done)
+            left = _apart(left.select("s", "x", "n"), done)
         else:
             left = left.withColumn("root", F.col("x"))
         left = written(left, "apart")
@@ -177,19 +183,9 @@ def groups(made: DataFrame, rows: DataFrame, key: str, text: str = "text", known
         star = left.join(hubs, "s").where("root <> h.root").groupBy("x", F.col("h.x").alias("y")).agg(F.count("*").alias("k"))
         best = star.groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
         done = _linked(done, best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), made, rows, key, text)
-    meet = left.where(F.col("c") <= FEW).select("s", "x", "n", "root")
-    many = left.where(F.col("c") > FEW)
-    if not many.isEmpty():
-        nodes = written(many.select(F.col("x").alias(key)).distinct(), "nodes")
-        anew = _apart(rare_first(rows, nodes, key, text), done)
-        # the same shingle may be met in both orders
-        meet = meet.withColumn("o", F.lit(0)).unionByName(anew.withColumn("o", F.lit(1)))
-    else:
-        meet = meet.withColumn("o", F.lit(0))
-    meet = written(meet, "meet")
-    p, q = meet.toDF("s", "a", "n", "r", "o"), meet.toDF("s", "b", "m", "t", "o")
+    p, q = left.toDF("s", "a", "n", "r"), left.toDF("s", "b", "m", "t")
     size = F.least("n", "m") >= _least(F.greatest("n", "m"))
-    pairs = p.join(q, ["s", "o"]).where((F.col("a") < F.col("b")) & (F.col("r") != F.col("t")) & size).select("a", "b").distinct()
+    pairs = p.join(q, "s").where((F.col("a") < F.col("b")) & (F.col("r") != F.col("t")) & size).select("a", "b").distinct()
     return components(_linked(done, pairs, made, rows, key, text))
 
 
@@ -197,7 +193,7 @@ def _apart(met: DataFrame, done: DataFrame) -> DataFrame:
     """``met`` with each text's root, without the shingles that only one component has."""
     rooted = met.join(done.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     several = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    return rooted.join(several.select("s"), "s", "left_semi").select("s", "x", "n", *[c for c in met.columns if c == "c"], "root")
+    return rooted.join(several.select("s"), "s", "left_semi").select("s", "x", "n", "root")
 
 
 def _linked(done: DataFrame | None, pairs: DataFrame, made: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -227,7 +223,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     found = written(near_duplicates(fingerprints(rows.select(whole.alias("key"), text), "key"), "key"), "found")
     first = found.where("key = component_id").select("key").distinct().select("key", "key._row", "key._text", "key._body")
     known = found.select(F.col("key._body").alias("a"), F.col("component_id._body").alias("b")).where("a <> b").distinct()
-    made = written(prefixes(rows, "_body", text).dropDuplicates(["_body"]), "prefixes")
+    made = written(prefixes(rows, "_body", text, crowded(rows, "_body", text)).dropDuplicates(["_body"]), "prefixes")
     near = groups(made, rows, "_body", text, known)
     grouped = first.join(near, F.col("_body") == F.col("node"))
     least = grouped.groupBy("root").agg(F.min("key").alias("least"))
