@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the vectorised scans; a single longer text is its own block.
 BLOCK_BYTES = 2 << 20
-#: Bits of ``maybe_in``'s filter (1 MB).
+#: Bits of ``maybe_in``'s filter, 64 in a row of the table that is broadcast: at most 131,072 rows.
 FILTER_BITS = 1 << 23
 
 
@@ -28,17 +30,32 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return own.select(*[F.col(f"_c{i}").alias(n) for i, n in zip(at, names, strict=True)])
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """df with columns named by their place (``_c0`` ...), so that nothing an operator adds clashes with one.
+
+    ``toDF(*df.columns)`` gives the names back.
+    """
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where none is set a folder of this machine serves, but only if all executors are in this
+    process (local mode, as in tests); else it is an error.
+    """
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
-        where = "/tmp/tessella-checkpoints"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="tessella-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(where)
     return where
 
 
@@ -48,29 +65,60 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once as Parquet in the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder; a folder that is gone already is as good."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    with suppress(Exception):  # what is left behind is a cost and no fault
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Shelf:
+    """Tables of one computation in the shared folder, each deleted as soon as nothing reads it."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """``written``; a table put under this name before is deleted afterwards."""
+        old, path = self.paths.get(name), new_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths[name] = path
+        if old is not None:
+            removed(self.spark, old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names or tuple(self.paths):
+            if (path := self.paths.pop(name, None)) is not None:
+                removed(self.spark, path)
 
 
-def maybe_in(wanted: DataFrame, hashed: str, bits: int = FILTER_BITS) -> Column:
-    """False for most rows whose hash is not among the wanted: a bitmap of fixed size over their hashes.
+def maybe_in(rows: DataFrame, hashed: str, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """rows without most of those whose hash is not among the wanted: by a bitmap of fixed size over their hashes.
 
-    Keeps the shuffle of texts near the wanted ones. With very many wanted rows it lets more
-    through, which the join after it removes. Both tables name the column alike.
+    Keeps the shuffle of texts near the wanted ones. The bitmap is a table of at most
+    ``bits / 64`` rows, so it may be broadcast however many are wanted; with very many it
+    lets more rows through, which the join after it removes. Both tables name the column alike.
     """
-    words = bits // 64
-    place = F.pmod(F.col(hashed), F.lit(bits))
-    word = F.floor(place / 64)
-    bit = F.expr(f"cast(pmod(pmod(`{hashed}`, {bits}), 64) as int)")
-    set_bits = wanted.groupBy(word.alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
-    every = wanted.sparkSession.range(words).join(set_bits, "id", "left")
-    pairs = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits"))))
-    bitmap = every.agg(F.transform(pairs, lambda x: x["bits"]).alias("bitmap")).scalar()
-    return F.call_function("shiftrightunsigned", F.element_at(bitmap, (word + 1).cast("int")), bit).bitwiseAND(F.lit(1)) == 1
+    place = lambda c: F.pmod(c, F.lit(bits))
+    word = lambda c: F.floor(place(c) / 64)
+    bit = lambda c: F.pmod(place(c), F.lit(64)).cast("int")
+    own = wanted.select(F.col(hashed).alias("_h"))
+    set_bits = own.groupBy(word(F.col("_h")).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(F.col("_h")))).alias("_bits"))
+    is_set = F.call_function("shiftrightunsigned", F.col("_bits"), bit(F.col(hashed))).bitwiseAND(F.lit(1)) == 1
+    return rows.join(F.broadcast(set_bits), (word(F.col(hashed)) == F.col("_word")) & is_set, "left_semi")
 
 
 def as_bytes(column: pa.Array) -> pa.Array:

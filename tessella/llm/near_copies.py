@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, maybe_in, pick, word_bounds, word_hashes, written
+from tessella.llm.common import Shelf, blocks, by_place, maybe_in, pick, word_bounds, word_hashes
 from tessella.llm.components import components
 from tessella.llm.decontaminate import rolled
 from tessella.llm.simhash import fingerprints, near_duplicates
@@ -91,21 +91,32 @@ def shared(made: DataFrame, key: str) -> DataFrame:
 
 
 def crowded(rows: DataFrame, key: str, text: str = "text") -> np.ndarray:
-    """Shingles that more than a few prefixes have, those that most have last.
+    """Shingles that more than a few prefixes have, those that most have last; ``MOST_LATE`` at most.
 
     With these late in the order, unlike texts with a passage in common don't meet on it.
+    Counts stay on the cluster; the driver gets how many shingles each power of two of
+    counts has, which sets the bound, and then the shingles over the bound.
     """
-    found: dict[int, int] = {}
+    shelf = Shelf(rows.sparkSession)
+    late, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for _ in range(LOOKS):
-        late = np.array(sorted(found, key=lambda x: (found[x], x)), np.int64).view(np.uint64)
-        own = prefixes(rows, key, text, late).select(F.explode("prefix").alias("s"))
-        most = own.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > FEW).orderBy(F.desc("c"), "s").limit(MOST_LATE // LOOKS)
-        got = most.toArrow()
-        for x, c in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-            found[x] = max(c, found.get(x, 0))
-        if len(found) == len(late):
+        own = prefixes(rows, key, text, late.view(np.uint64)).select(F.explode("prefix").alias("s"))
+        counts = shelf.put(own.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > FEW), "counts")
+        sizes = dict(counts.groupBy(F.floor(F.log2("c")).cast("int").alias("p")).agg(F.count("*").alias("k")).collect())
+        room, least = MOST_LATE // LOOKS, 64
+        while least > 0 and (k := sizes.get(least - 1, 0)) <= room:
+            room, least = room - k, least - 1
+        got = counts.where(F.col("c") >= F.lit(2.0) ** least).toArrow()
+        late = np.concatenate([late, got.column(0).to_numpy().astype(np.int64)])
+        times = np.concatenate([times, got.column(1).to_numpy().astype(np.int64)])
+        order = np.lexsort((late, times))
+        late, times = late[order], times[order]
+        shelf.drop()
+        if got.num_rows == 0:
             break
-    return np.array(sorted(found, key=lambda x: (found[x], x)), np.int64).view(np.uint64)
+    # a shingle found twice keeps its first place
+    first = np.sort(np.unique(late, return_index=True)[1])
+    return late[first].view(np.uint64)
 
 
 def possible(pairs: DataFrame, made: DataFrame, key: str) -> DataFrame:
@@ -126,7 +137,7 @@ def shingle_sets(nodes: DataFrame, rows: DataFrame, key: str, text: str = "text"
 
     Only the nodes' texts are shuffled. Keys are hashes of texts; equal texts have one set.
     """
-    own = pick(rows, key, text).where(maybe_in(nodes, key)).dropDuplicates([key]).join(nodes, key, "left_semi")
+    own = maybe_in(pick(rows, key, text), key, nodes).dropDuplicates([key]).join(nodes, key, "left_semi")
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,28 +176,31 @@ def groups(made: DataFrame, rows: DataFrame, key: str, text: str = "text", known
     the one it meets most often of one for each shingle; so a dense group verifies about as
     many pairs as it has members. Then all pairs that meet and are still apart are verified.
     """
-    met = written(shared(made, key), "shared")
-    done = None if known is None else written(known, "known")
-    left = met
+    shelf = Shelf(made.sparkSession)
+    left = shelf.put(shared(made, key), "left")
+    done = None if known is None else shelf.put(known, "done")
     for n in range(ROUNDS + 1):
         if done is not None:
-            done = written(components(done), "groups")
+            done = shelf.put(components(done), "done")
             left = _apart(left.select("s", "x", "n"), done)
         else:
             left = left.withColumn("root", F.col("x"))
-        left = written(left, "apart")
+        left = shelf.put(left, "left")
         if left.isEmpty():
+            shelf.drop("left")
             return done if done is not None else _none(made, key)
         if n == ROUNDS:
             break
         hubs = left.groupBy("s").agg(F.min_by(F.struct("x", "root"), F.xxhash64("x", F.lit(n))).alias("h"))
         star = left.join(hubs, "s").where("root <> h.root").groupBy("x", F.col("h.x").alias("y")).agg(F.count("*").alias("k"))
         best = star.groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
-        done = _linked(done, best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), made, rows, key, text)
+        done = _linked(shelf, done, best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), made, rows, key, text)
     p, q = left.toDF("s", "a", "n", "r"), left.toDF("s", "b", "m", "t")
     size = F.least("n", "m") >= _least(F.greatest("n", "m"))
     pairs = p.join(q, "s").where((F.col("a") < F.col("b")) & (F.col("r") != F.col("t")) & size).select("a", "b").distinct()
-    return components(_linked(done, pairs, made, rows, key, text))
+    found = components(_linked(shelf, done, pairs, made, rows, key, text))
+    shelf.drop()  # components have their own copy of the links
+    return found
 
 
 def _apart(met: DataFrame, done: DataFrame) -> DataFrame:
@@ -196,12 +210,14 @@ def _apart(met: DataFrame, done: DataFrame) -> DataFrame:
     return rooted.join(several.select("s"), "s", "left_semi").select("s", "x", "n", "root")
 
 
-def _linked(done: DataFrame | None, pairs: DataFrame, made: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+def _linked(shelf: Shelf, done: DataFrame | None, pairs: DataFrame, made: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b): what is done, and the pairs that verify."""
-    pairs = written(possible(pairs, made, key), "pairs")
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "nodes")
+    pairs = shelf.put(possible(pairs, made, key), "pairs")
+    nodes = shelf.put(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "nodes")
     good = verified(pairs, shingle_sets(nodes, rows, key, text), key)
-    return written(good if done is None else done.toDF("a", "b").unionByName(good), "links")
+    links = shelf.put(good if done is None else done.toDF("a", "b").unionByName(good), "done")
+    shelf.drop("pairs", "nodes")
+    return links
 
 
 def _none(made: DataFrame, key: str) -> DataFrame:
@@ -214,21 +230,30 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Linked are texts whose long fingerprints are within their radius (see ``simhash``) and
     near copies; a group is all that links reach. Rows are told apart by key and text, so
     different texts under one key are linked only if alike, and of rows equal in both one
-    stays. Null texts count as empty. All columns are kept. Near copies are sought among all
-    distinct texts, each known by a hash of 64 bits.
+    stays. Null texts count as empty. All columns are kept, whatever their names. Near copies
+    are sought among all distinct texts, each known by a hash of 64 bits. An empty table
+    gives no rows.
     """
-    body = F.coalesce(text, F.lit(""))
-    rows = docs.withColumns({"_row": F.xxhash64(key, body), "_text": F.xxhash64(body, key), "_body": F.xxhash64(body)})
-    whole = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_row", "_text", "_body")
-    found = written(near_duplicates(fingerprints(rows.select(whole.alias("key"), text), "key"), "key"), "found")
-    first = found.where("key = component_id").select("key").distinct().select("key", "key._row", "key._text", "key._body")
+    own, names = by_place(docs), docs.columns
+    id_, text = F.col(f"_c{names.index(key)}"), f"_c{names.index(text)}"
+    shelf = Shelf(docs.sparkSession)
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = own.withColumns({"_row": F.xxhash64(id_, body), "_text": F.xxhash64(body, id_), "_body": F.xxhash64(body)})
+    whole = F.struct(id_.isNull().alias("none"), id_.alias("key"), "_row", "_text", "_body")
+    found = shelf.put(near_duplicates(fingerprints(rows.select(whole.alias("key"), text), "key", text), "key"), "found")
+    first = found.where("key = component_id").groupBy("key").agg(F.count("*").alias("_times")).select("key", "key._row", "key._text", "key._body", "_times")
     known = found.select(F.col("key._body").alias("a"), F.col("component_id._body").alias("b")).where("a <> b").distinct()
-    made = written(prefixes(rows, "_body", text, crowded(rows, "_body", text)).dropDuplicates(["_body"]), "prefixes")
+    made = shelf.put(prefixes(rows, "_body", text, crowded(rows, "_body", text)).dropDuplicates(["_body"]), "prefixes")
     near = groups(made, rows, "_body", text, known)
+    shelf.drop("prefixes")
     grouped = first.join(near, F.col("_body") == F.col("node"))
     least = grouped.groupBy("root").agg(F.min("key").alias("least"))
     others = grouped.join(least, "root").where("key <> least").select("_row", "_text")
-    keep = first.select("_row", "_text").join(others, ["_row", "_text"], "left_anti")
-    own = Window.partitionBy("_row", "_text").orderBy(F.xxhash64(*docs.columns))
-    joined = rows.join(keep, ["_row", "_text"]).withColumn("_n", F.row_number().over(own))
-    return joined.where("_n = 1").select(*docs.columns)
+    keep = shelf.put(first.select("_row", "_text", "_times").join(others, ["_row", "_text"], "left_anti"), "keep")
+    shelf.drop("found")
+    # of rows equal in key and text each task keeps one, then one of those stays
+    once, again = (rows.join(keep.where(c), ["_row", "_text"]) for c in ("_times = 1", "_times > 1"))
+    for by in (["_row", "_text", "_task"], ["_row", "_text"]):
+        best = Window.partitionBy(*by).orderBy(F.xxhash64(*own.columns))
+        again = again.withColumn("_task", F.spark_partition_id()).withColumn("_n", F.row_number().over(best)).where("_n = 1")
+    return once.select(*own.columns).unionByName(again.select(*own.columns)).toDF(*names)

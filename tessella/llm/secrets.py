@@ -17,7 +17,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import maybe_in, pick, written
+from tessella.llm.common import by_place, maybe_in, pick, written
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,8 @@ BASE = (
 ADDED = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    # a bounded header, or a long run of "eyJ" would be tried from each of them to its end
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{1,1000}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 RULES = BASE + ADDED
@@ -149,11 +150,16 @@ def build_index(docs: DataFrame, trigrams: list[str], key: list[str], text: str
     return docs.select(*key, lower.alias("_lower")).select(*key, F.explode(held).alias("trigram"))
 
 
-def candidates(postings: DataFrame, query: Query, key: list[str]) -> DataFrame:
-    """The keys whose postings satisfy the query: its trigrams' posting lists, intersected and united."""
-    held = postings.where(F.col("trigram").isin(sorted(trigrams_of(query)))).groupBy(*key)
-    flags = held.agg(*[F.bool_or(F.col("trigram") == t).alias(_flag(t)) for t in sorted(trigrams_of(query))])
-    return flags.where(_holds(query)).select(*key)
+def candidates(postings: DataFrame, queries: dict[str, Query], key: list[str]) -> DataFrame:
+    """(key, _kinds): the texts whose postings satisfy some of the queries, and which.
+
+    A text's posting lists meet in one row of flags, one for each trigram; the queries
+    intersect and unite those.
+    """
+    trigrams = sorted(set().union(*map(trigrams_of, queries.values())))
+    flags = postings.groupBy(*key).agg(*[F.bool_or(F.col("trigram") == t).alias(_flag(t)) for t in trigrams])
+    kinds = F.filter(F.array(*[F.when(_holds(q), F.lit(k)) for k, q in queries.items()]), lambda k: k.isNotNull())
+    return flags.select(*key, kinds.alias("_kinds")).where(F.size("_kinds") > 0)
 
 
 def _flag(trigram: str) -> str:
@@ -167,26 +173,37 @@ def _holds(query: Query) -> Column:
     return reduce(lambda a, b: a & b if query[0] == "and" else a | b, parts)
 
 
-def _matches(texts: DataFrame, rule: Rule, key: list[str]) -> DataFrame:
-    """(key, kind, start, end) of the rule's kept matches, in code points, end exclusive.
+def _lengths(rule: Rule) -> Column:
+    """Of each of the rule's matches, in order: the lengths of the gap before it, of itself and of its group.
 
-    A text split at the matches has one part more than matches; running lengths of both
-    give the places. A window over one text's matches does the sum.
+    A text split at the matches has one part more than matches. Null if there are none.
     """
     split, found = F.split("_text", rule.pattern, -1), F.regexp_extract_all("_text", F.lit(rule.pattern), F.lit(0))
-    group = F.regexp_extract_all("_text", F.lit(rule.pattern), F.lit(rule.group))
-    lengths = F.transform(
-        F.arrays_zip(split.alias("gap"), found.alias("match"), group.alias("group")),
-        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("match"), F.length(x["group"]).alias("group")),
-    )
-    each = texts.where(F.col("_text").rlike(rule.pattern)).select(*key, F.posexplode(lengths).alias("i", "x")).where("x.match is not null").distinct()
-    before = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    group = F.regexp_extract_all("_text", F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
+    zipped = F.arrays_zip(split.alias("gap"), found.alias("match"), group.alias("group"))
+    each = F.transform(zipped, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("match"), F.length(x["group"]).alias("group")))
+    return F.when(F.col("_text").rlike(rule.pattern), each)
+
+
+def _scanned(texts: DataFrame, rules: tuple[Rule, ...], key: list[str], wanted: Column | None = None) -> DataFrame:
+    """(key, kind, i, x): the matches of the rules (of those that ``wanted`` lists) in one pass over the texts."""
+    kinds = F.array(*[F.struct(F.lit(r.kind).alias("kind"), _lengths(r).alias("each")) for r in rules])
+    if wanted is not None:
+        kinds = F.array(*[F.when(F.array_contains(wanted, r.kind), F.struct(F.lit(r.kind).alias("kind"), _lengths(r).alias("each"))) for r in rules])
+    found = texts.select(*key, F.explode(F.filter(kinds, lambda k: k["each"].isNotNull())).alias("_k"))
+    return found.select(*key, F.col("_k.kind").alias("kind"), F.posexplode("_k.each").alias("i", "x")).where("x.match is not null")
+
+
+def _places(matches: DataFrame, rules: tuple[Rule, ...], key: list[str]) -> DataFrame:
+    """(key, kind, start, end) of the kept matches, in code points, end exclusive: running sums of gaps and matches.
+
+    Rows repeated with key and text give each match once. A window holds one text's matches of one rule.
+    """
+    before = Window.partitionBy(*key, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("x.gap").cast("bigint") + F.col("x.match")).over(before)
-    return (
-        each.select(*key, F.lit(rule.kind).alias("kind"), (end - F.col("x.match")).alias("start"), end.alias("end"), F.col("x.group").alias("_size"))
-        .where(F.col("_size") >= rule.least)
-        .drop("_size")
-    )
+    least = F.coalesce(*[F.when(F.col("kind") == r.kind, F.lit(r.least)) for r in rules])
+    each = matches.distinct().select(*key, "kind", (end - F.col("x.match")).alias("start"), end.alias("end"), F.col("x.group").alias("_size"))
+    return each.where(F.col("_size") >= least).drop("_size")
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,26 +211,27 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "d
 
     For each rule, leftmost matches that don't overlap, in code points. Null texts count as
     empty. Rows are told apart by key and a hash of the text; rows repeated with both give
-    each span once. The index is written to the shared folder and read by each query.
+    each span once. An empty table has no spans; extra columns are left out. The index, and
+    the candidates that it leaves, are written to the shared folder.
     """
     rows = pick(docs, key, text).select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = rows.select(F.col(key), F.xxhash64("_text").alias("_hash"), "_text")
     by = [key, "_hash"]
     plans = {r: trigram_query(r.pattern) for r in rules}
+    indexed = tuple(r for r, q in plans.items() if q is not True)
+    scanned = tuple(r for r, q in plans.items() if q is True)
     found = []
-    indexed = {r: q for r, q in plans.items() if q is not True}
     if indexed:
-        postings = written(build_index(rows, sorted(set().union(*map(trigrams_of, indexed.values()))), by, "_text"), "postings")
-        wanted = reduce(DataFrame.unionByName, [candidates(postings, q, by).withColumn("_kind", F.lit(r.kind)) for r, q in indexed.items()])
-        wanted = wanted.groupBy(*by).agg(F.collect_set("_kind").alias("_kinds"))
-        wanted = written(wanted, "wanted")
-        left, right = rows.where(maybe_in(wanted, "_hash")).alias("l"), wanted.alias("r")
+        queries = {r.kind: plans[r] for r in indexed}
+        postings = written(build_index(rows, sorted(set().union(*map(trigrams_of, queries.values()))), by, "_text"), "postings")
+        wanted = written(candidates(postings, queries, by), "wanted")
+        left, right = maybe_in(rows, "_hash", wanted).alias("l"), wanted.alias("r")
         same = F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) & (F.col("l._hash") == F.col("r._hash"))
-        texts = left.join(right, same).select(*[f"l.{c}" for c in rows.columns], "r._kinds")
-        texts = written(texts, "candidates")
-        found += [_matches(texts.where(F.array_contains("_kinds", r.kind)), r, by) for r in indexed]
-    found += [_matches(rows, r, by) for r in plans if r not in indexed]
-    return reduce(DataFrame.unionByName, found).distinct()
+        texts = written(left.join(right, same).select(*[f"l.{c}" for c in rows.columns], "r._kinds"), "candidates")
+        found.append(_scanned(texts, indexed, by, F.col("_kinds")))
+    if scanned:
+        found.append(_scanned(rows, scanned, by))
+    return _places(reduce(DataFrame.unionByName, found), rules, by)
 
 
 def summary(docs: DataFrame, spans: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,7 +260,8 @@ def summary(docs: DataFrame, spans: DataFrame, rules: tuple[Rule, ...] = RULES,
 def redact(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every span replaced by ``[kind]``; overlapping spans are one, named by the first.
 
-    All columns and rows stay; texts without spans are unchanged, null texts stay null.
+    All columns and rows stay, whatever the columns' names; texts without spans are
+    unchanged, null texts stay null. An empty table gives no rows.
     """
     order = Window.partitionBy(key, "_hash").orderBy("start", F.desc("end"), "kind")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -253,9 +272,10 @@ def redact(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "
     runs = runs.withColumn("_from", F.coalesce(F.lag("end").over(after), F.lit(0)))
     listed = runs.groupBy(key, "_hash").agg(F.sort_array(F.collect_list(F.struct("_from", "start", "end", "kind"))).alias("_runs"))
     listed = listed.select(F.col(key).alias("_rkey"), F.col("_hash").alias("_rhash"), "_runs")
-    same = F.col(key).eqNullSafe(F.col("_rkey")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_rhash"))
-    joined = docs.join(listed, same, "left")
-    part = lambda r: F.concat(F.substring(F.col(text), r["_from"].cast("int") + 1, (r["start"] - r["_from"]).cast("int")), F.lit("["), r["kind"], F.lit("]"))
-    rest = F.substring(F.col(text), F.element_at("_runs", -1)["end"].cast("int") + 1, F.length(text))
-    clean = F.when(F.col("_runs").isNull(), F.col(text)).otherwise(F.concat(F.array_join(F.transform("_runs", part), ""), rest))
-    return joined.withColumn(text, clean).select(*docs.columns)
+    own, names = by_place(docs), docs.columns
+    id_, body = F.col(f"_c{names.index(key)}"), F.col(f"_c{names.index(text)}")
+    joined = own.join(listed, id_.eqNullSafe(F.col("_rkey")) & (F.xxhash64(F.coalesce(body, F.lit(""))) == F.col("_rhash")), "left")
+    part = lambda r: F.concat(F.substring(body, r["_from"].cast("int") + 1, (r["start"] - r["_from"]).cast("int")), F.lit("["), r["kind"], F.lit("]"))
+    rest = F.substring(body, F.element_at("_runs", -1)["end"].cast("int") + 1, F.length(body))
+    clean = F.when(F.col("_runs").isNull(), body).otherwise(F.concat(F.array_join(F.transform("_runs", part), ""), rest))
+    return joined.withColumn(f"_c{names.index(text)}", clean).select(*own.columns).toDF(*names)
