@@ -45,7 +45,7 @@ def test_stages(spark, inputs):
             if len(after) < 5:
                 assert kept.columns == df.columns
         # 1: toxic documents go, and nothing else
-        scorer = toxicity.fit(*toxicity.training_rows(docs, spark.read.parquet(f"{where}/labels.parquet")))
+        scorer = toxicity.trained(docs, spark.read.parquet(f"{where}/labels.parquet"))
         bad = {r["doc_id"] for r in toxicity.score(docs, scorer).where(F.col("_score") >= 0.7).collect()}
         first = [(k, t) for k, t in rows if k not in bad]
         assert ids_texts(after[0]) == sorted(first, key=str)
