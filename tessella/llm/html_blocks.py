@@ -27,11 +27,11 @@ INPUT = PATH_SIZE + WORD_SIZE + MEASURES
 MODEL = "blocks_model.npz"
 #: Pages labelled together; their leaves are padded to the longest of a group of like length.
 PAGES = 256
+#: Steps of the recurrence whose inputs are multiplied at once.
+STEPS_AHEAD = 8192
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=\s|/|\Z)", re.S | re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 FOLD = ascii_fold(letters_digits())
@@ -46,18 +46,36 @@ _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _HOLDS = frozenset("ul ol dl table tbody thead select div section article main aside nav body form".split())
 
 
+#: Longer attributes are not remembered from one tag to the next.
+_SHORT = 400
+
+
 @dataclass
 class Leaf:
     text: str
-    path: list[int]
+    #: How many path changes of the page came before it, and the token of the innermost element (-1: none).
+    at: int
+    last: int
     linked: int
     depth: int
 
 
 @dataclass
-class _Open:
-    tag: str
+class Page:
+    """A page's leaves, and its path tokens as changes: which token comes (1) or goes (-1).
+
+    A leaf's path is the sum of the changes before it, so neither time nor memory grows with depth.
+    """
+
+    leaves: list[Leaf] = field(default_factory=list)
     tokens: list[int] = field(default_factory=list)
+    signs: list[int] = field(default_factory=list)
+
+    def __len__(self) -> int:
+        return len(self.leaves)
+
+    def __iter__(self) -> Iterator[Leaf]:
+        return iter(self.leaves)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -65,8 +83,7 @@ def _path_token(token: str) -> int:
     return crc32(token.encode()) % PATHS
 
 
-@lru_cache(maxsize=1 << 14)
-def _tokens(tag: str, attributes: str) -> tuple[int, ...]:
+def _read(tag: str, attributes: str) -> tuple[int, ...]:
     found = [f"<{tag}>"]
     for name, value in _ATTRIBUTE.findall(attributes):
         name = name.lower()
@@ -74,13 +91,105 @@ def _tokens(tag: str, attributes: str) -> tuple[int, ...]:
             found.append("hidden")
         elif name != "style":
             found += [x.lower() for x in _PART.findall(value)]
-    return tuple(_path_token(x) for x in dict.fromkeys(found))
+    return tuple(dict.fromkeys(_path_token(x) if len(x) < _SHORT else crc32(x.encode()) % PATHS for x in found))
 
 
-def leaves(page: str) -> list[Leaf]:
+_remembered = lru_cache(maxsize=1 << 14)(_read)
+
+
+def _tokens(tag: str, attributes: str) -> tuple[int, ...]:
+    return _remembered(tag, attributes) if len(tag) + len(attributes) < _SHORT else _read(tag, attributes)
+
+
+class Tags:
+    """The tags of a page, each found in time that its own length bounds."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        #: Set once quotes were seen to hide all ends of tags to the page's end; then a tag ends at the next ``>``.
+        self.plain = False
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, past its end, closing, name, attributes) of the next tag or comment (no name) from here on."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            follows = page[start + 1 : start + 2]
+            if follows in ("!", "?"):
+                stop = page.find("-->", start + 4) if page.startswith("<!--", start) else page.find(">", start)
+                return start, len(page) if stop < 0 else stop + (3 if page.startswith("<!--", start) else 1), False, "", ""
+            if start > self.last[">"]:  # no tag ends after this; a comment may yet begin
+                if (at := page.find("<!", start)) < 0:
+                    return None
+                continue
+            closing = follows == "/"
+            name = _NAME.match(page, start + 1 + closing)
+            if name is not None and name.end() <= self.last[">"]:
+                stop = self._end(name.end())
+                return start, stop + 1, closing, name[0].lower(), page[name.end() : stop]
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose name ends here has its ``>``, which is not one between quotes; there is a ``>``."""
+        first = self.page.find(">", at)
+        while not self.plain:
+            at = _PLAIN.match(self.page, at).end()
+            if at == len(self.page):
+                self.plain = True
+            elif self.page[at] == ">":
+                return at
+            elif at >= self.last[self.page[at]]:  # a quote that nothing closes
+                return first
+            else:
+                at = self.page.find(self.page[at], at + 1) + 1
+        return first
+
+
+class _Stack:
+    """The open elements, with what is asked of them kept beside them."""
+
+    def __init__(self, out: Page) -> None:
+        self.out = out
+        self.tags: list[str] = []
+        self.own: list[tuple[int, ...]] = []
+        self.where: dict[str, list[int]] = {}
+        self.holders: list[int] = []
+        self.open: dict[int, int] = {}  # path tokens: how many open elements have each
+
+    def push(self, tag: str, tokens: tuple[int, ...]) -> None:
+        self.where.setdefault(tag, []).append(len(self.tags))
+        if tag in _HOLDS:
+            self.holders.append(len(self.tags))
+        self.tags.append(tag)
+        self.own.append(tokens)
+        for t in tokens:
+            n = self.open[t] = self.open.get(t, 0) + 1
+            if n == 1:
+                self.out.tokens.append(t)
+                self.out.signs.append(1)
+
+    def cut(self, to: int) -> None:
+        while len(self.tags) > to:
+            tag = self.tags.pop()
+            self.where[tag].pop()
+            if tag in _HOLDS:
+                self.holders.pop()
+            for t in self.own.pop():
+                self.open[t] -= 1
+                if self.open[t] == 0:
+                    self.out.tokens.append(t)
+                    self.out.signs.append(-1)
+
+    def innermost(self, *tags: str) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
+
+def leaves(page: str) -> Page:
     """The page's blocks of text in order; markup that is broken is read as browsers roughly do."""
-    out: list[Leaf] = []
-    stack: list[_Open] = []
+    out = Page()
+    stack = _Stack(out)
+    tags = Tags(page)
     text: list[str] = []
     linked = 0
     in_link = False
@@ -90,28 +199,24 @@ def leaves(page: str) -> list[Leaf]:
         if text:
             body = " ".join(html.unescape("".join(text)).split())
             if body:
-                out.append(_leaf(body, stack, linked))
+                last = _path_token("last " + stack.tags[-1][:_SHORT]) if stack.tags else -1
+                out.leaves.append(Leaf(body, len(out.tokens), last, linked, len(stack.tags)))
             text.clear()
         linked = 0
 
-    def close(upto: int) -> None:
-        del stack[upto:]
-
     at, end = 0, len(page)
     while at < end:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else end
+        found = tags.next(at)
+        stop = found[0] if found else end
         if stop > at:
             text.append(page[at:stop])
             if in_link:
                 linked += stop - at
-        if m is None:
+        if found is None:
             break
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        _, at, closing, tag, attributes = found
         if not tag:
             continue  # a comment or declaration
-        tag = tag.lower()
         if tag in SILENT and not closing:
             flush()
             if not attributes.endswith("/"):
@@ -130,34 +235,20 @@ def leaves(page: str) -> list[Leaf]:
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
+            if (k := stack.innermost(tag)) >= 0:
+                stack.cut(k)
             continue
         if tag in VOID:
             continue
-        if stack and stack[-1].tag == "p":
-            close(len(stack) - 1)
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in _ENDS.get(tag, ()):
-                close(i)
-                break
-            if stack[i].tag in _HOLDS:
-                break
-        if not attributes.endswith("/") or tag not in VOID:
-            stack.append(_Open(tag, list(_tokens(tag, attributes))))
+        if stack.tags and stack.tags[-1] == "p":
+            stack.cut(len(stack.tags) - 1)
+        if tag in _ENDS and (k := stack.innermost(*_ENDS[tag])) > (stack.holders[-1] if stack.holders else -1):
+            stack.cut(k)
+        stack.push(tag, _tokens(tag, attributes))
     flush()
     return out
 
 
-def _leaf(body: str, stack: list[_Open], linked: int) -> Leaf:
-    path = list(dict.fromkeys(t for o in stack for t in o.tokens))
-    if stack:
-        path.append(_path_token("last " + stack[-1].tag))
-    return Leaf(body, path, linked, len(stack))
-
-
 def words_of(own: list[Leaf]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets of all leaves' words, which leaf each is of, how many each leaf has)."""
     raw = [x.text.encode() for x in own]
@@ -203,17 +294,22 @@ def _summed(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def inputs(w: Weights, own: list[Leaf]) -> np.ndarray:
-    paths = np.fromiter((t for x in own for t in x.path), np.int64)
+def path_sums(w: Weights, pages: list[Page]) -> np.ndarray:
+    """Each leaf's sum of the vectors of its path's tokens, and of its innermost element's once more."""
+    out = []
+    for page in pages:
+        changes = w["path"][np.array(page.tokens, np.int64)].astype(np.float64) * np.array(page.signs, np.float64)[:, None]
+        so_far = np.concatenate([np.zeros((1, PATH_SIZE)), np.cumsum(changes, 0)])
+        last = np.array([x.last for x in page], np.int64)
+        out.append(so_far[np.array([x.at for x in page], np.int64)] + np.where(last[:, None] >= 0, w["path"][last], 0))
+    return np.concatenate(out).astype(w["path"].dtype)
+
+
+def inputs(w: Weights, pages: list[Page]) -> np.ndarray:
+    own = [x for p in pages for x in p]
     buckets, _, n_words = words_of(own)
-    return np.concatenate(
-        [
-            _summed(w["path"][paths], np.array([len(x.path) for x in own])),
-            _summed(w["word"][buckets], n_words) / np.maximum(1, n_words)[:, None],
-            measures(own, n_words),
-        ],
-        1,
-    ).astype(np.float32)
+    words = _summed(w["word"][buckets], n_words) / np.maximum(1, n_words)[:, None]
+    return np.concatenate([path_sums(w, pages), words, measures(own, n_words)], 1).astype(np.float32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -226,9 +322,12 @@ def lstm(x: np.ndarray, mask: np.ndarray, w: Weights, name: str, keep: list | No
     h = np.zeros((pages, HIDDEN), np.float32)
     c = np.zeros((pages, HIDDEN), np.float32)
     out = np.zeros((steps, pages, HIDDEN), np.float32)
-    ahead = (x.reshape(-1, x.shape[2]) @ w[f"{name}x"] + w[f"{name}b"]).reshape(steps, pages, 4 * HIDDEN)
+    ahead, low, high = None, 0, 0  # the inputs' part of so many steps, so that a very long page takes little memory
     for t in range(steps) if name == "f" else range(steps - 1, -1, -1):
-        z = ahead[t] + h @ w[f"{name}h"]
+        if not low <= t < high:
+            low, high = (t, min(steps, t + STEPS_AHEAD)) if name == "f" else (max(0, t + 1 - STEPS_AHEAD), t + 1)
+            ahead = (x[low:high].reshape(-1, x.shape[2]) @ w[f"{name}x"] + w[f"{name}b"]).reshape(high - low, pages, 4 * HIDDEN)
+        z = ahead[t - low] + h @ w[f"{name}h"]
         gates = sigmoid(z[:, : 3 * HIDDEN])
         i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
         g = np.tanh(z[:, 3 * HIDDEN :])
@@ -244,15 +343,16 @@ def lstm(x: np.ndarray, mask: np.ndarray, w: Weights, name: str, keep: list | No
 
 
 def logits(w: Weights, x: np.ndarray, mask: np.ndarray, keep: dict[str, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The logit of each step of each page, from the states of both directions and the inputs; and those."""
     hidden = np.concatenate([lstm(x, mask, w, d, None if keep is None else keep[d]) for d in ("f", "r")] + [x], 2)
     return hidden @ w["out"] + w["bias"], hidden
 
 
-def padded(w: Weights, pages: list[list[Leaf]]) -> tuple[np.ndarray, np.ndarray]:
+def padded(w: Weights, pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, pages))
     x = np.zeros((steps, len(pages), INPUT), np.float32)
     mask = np.zeros((steps, len(pages)), np.float32)
-    flat = inputs(w, [leaf for p in pages for leaf in p])
+    flat = inputs(w, pages)
     at = 0
     for k, p in enumerate(pages):
         x[: len(p), k] = flat[at : at + len(p)]

@@ -1,6 +1,7 @@
 """The trained operators: held-out accuracy, and rows with every odd case."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,14 @@ def test_html_long_page():
 
 def test_html_model_on_other_pages():
     assert train_blocks.accuracy(html_blocks.load(), 150, seed=123) > 0.98
+    assert train_blocks.accuracy(html_blocks.load(), 150, seed=123, held_out=True) > 0.97
+
+
+def test_html_odd_pages_take_linear_time():
+    began = time.perf_counter()
+    for page in ("<a" * 10**6, "<div>x" * 10**5, "".join(f"<div class=k{i}>x" for i in range(10**5)), '<a "' * 10**5, '<a ">" ' * 10**5, '<p class="' + "a>b " * 10**5, "<x>" * 10**5 + "<li>a</li>" * 10**5, "<div>" * 10**5 + "</p>a" * 10**5, "<p>some words</p>" * 600_000):
+        html_blocks.leaves(page)
+    assert time.perf_counter() - began < 60
 
 
 def test_html_training_learns_and_its_gradient_is_right():
@@ -94,11 +103,11 @@ def test_toxicity(spark):
     rows = toxic_rows()
     docs = spark.createDataFrame([r[:2] for r in rows], TEXT)
     labels = spark.createDataFrame([(i, y, 1) for i, _, y in rows] + [(1, None, 0), (None, 1, 1), (10**6, 1, 1)], "doc_id bigint, toxic int, quality int")
-    texts, ys, weights = toxicity.training_rows(docs, labels)
+    chosen = toxicity.training_rows(docs, labels).collect()
     held = {r[0] for r in docs.where(toxicity.fold_of(F.col("doc_id")) == 1).select("doc_id").collect()}
     own = {t for i, t, _ in rows if i not in held}
-    assert set(texts) <= own and len(texts) == len(rows) - len(held) and len(ys) == len(weights)
-    scorer = toxicity.fit(texts, ys, weights)
+    assert {r["text"] for r in chosen} <= own and len(chosen) == len(rows) - len(held)
+    scorer = toxicity.trained(docs, labels)
     odd = [(5000, None), (5001, ""), (5002, "\n\n"), (None, "moron"), (5003, "alpha beta. You moron! gamma"), (5003, "alpha beta. You moron! gamma"), (5004, words(random.Random(1), 20_000))]
     every = docs.unionByName(spark.createDataFrame(odd, TEXT)).withColumn("score", F.lit("clash"))
     found = toxicity.score(every, scorer).collect()
