@@ -7,69 +7,160 @@ of bytes; windows whose hash is in the set are compared word by word. Nothing is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ascii_fold, blocks, checkpoint, letters_digits, pick, powers, word_bounds, word_hashes
+from tessella.llm.common import ascii_fold, blocks, by_place, checkpoint, letters_digits, pick, powers, word_bounds, word_hashes
 
 #: Words of a window.
 WINDOW = 10
 #: The items of one pass have at most this many bytes (a longer item is its own pass), so
-#: what is broadcast has a fixed bound. More items take more passes over the documents.
-BLOCK_ITEM_BYTES = 16 << 20
+#: what is broadcast has a fixed bound: ten times as many bytes at two-letter words, five times
+#: at words of six. More items take more passes over the documents.
+BLOCK_ITEM_BYTES = 8 << 20
+#: Bytes of items that are cut into words at once.
+CUT_BYTES = 256 << 10
 
 FOLD = ascii_fold(letters_digits())
 #: A run of hit words: its first word and past its last, its first character and past its last.
 RUN = ("first", "last", "start", "end")
 
 
+@dataclass
+class Kind:
+    """The distinct windows of one length, by hash: where each one's words begin and end in the
+    items' bytes, and a run of ``items`` that have it. Windows of one hash stand side by side."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    past: np.ndarray
+    run: np.ndarray
+    items: np.ndarray
+    #: Which low bits of a hash occur, a bit each: a first sieve with sixteen places for a hash.
+    seen: np.ndarray
+
+
 class Windows:
-    """The windows of some items: sorted hashes for each window length, and what they stand for."""
+    """The windows of some items, in arrays: a few bytes for each, whatever the items are."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW) -> None:
-        self.size = window
-        found: dict[int, dict[bytes, set[str]]] = {}
-        for item, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            folded = FOLD[raw]
-            starts, ends = word_bounds(folded != 0, np.array([0, len(raw)]))
-            data = folded.tobytes()
-            words = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            n = min(window, len(words))
-            for i in range(len(words) - n + 1 if words else 0):
-                found.setdefault(n, {}).setdefault(b" ".join(words[i : i + n]), set()).update([] if item is None else [item])
-        self.items = {n: {k: sorted(v) for k, v in x.items()} for n, x in found.items()}
-        self.hashes = {n: np.unique(np.concatenate([self._of(k) for k in x])) for n, x in self.items.items()}
-        self.seen = {n: self._table(h) for n, h in self.hashes.items()}
-
-    def _of(self, window: bytes) -> np.ndarray:
-        raw = np.frombuffer(window, np.uint8)
-        starts, ends = word_bounds(raw != 32, np.array([0, len(raw)]))
-        return rolled(word_hashes(raw, starts, ends), len(starts))
-
-    @staticmethod
-    def _table(hashes: np.ndarray) -> np.ndarray:
-        """Which low bits occur: a first sieve of about sixteen places for each hash."""
-        seen = np.zeros(1 << max(16, (16 * len(hashes)).bit_length()), bool)
-        seen[_low(hashes, seen)] = True
-        return seen
-
-    def find(self, words: np.ndarray, n: int) -> np.ndarray:
-        """First words of the runs of n words whose hash is in the set."""
+        self.names = np.array([x for x, _ in items], object)
+        parts = [_cut(pa.array([t for _, t in items[at:to]], pa.string()), at) for at, to in _runs_of([len(t or "") for _, t in items])]
+        sizes = [len(p[0]) for p in parts]
+        self.bytes = b"".join(p[0] for p in parts)
+        shift = np.cumsum([0, *sizes])
+        starts = np.concatenate([np.zeros(0, np.int32), *[(p[1] + s).astype(np.int32) for p, s in zip(parts, shift, strict=False)]])
+        ends = np.concatenate([np.zeros(0, np.int32), *[(p[2] + s).astype(np.int32) for p, s in zip(parts, shift, strict=False)]])
+        owner = np.concatenate([np.zeros(0, np.int32), *[p[3] for p in parts]])
+        hashes = np.concatenate([np.zeros(0, np.uint64), *[p[4] for p in parts]])
+        del parts
+        counts = np.bincount(owner, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
+        self.kinds: dict[int, Kind] = {}
+        for n in np.unique(np.minimum(counts[counts > 0], window)).tolist():
+            self.kinds[n] = self._kind(n, window, counts, starts, ends, owner, hashes)
+
+    def _kind(self, n: int, window: int, counts: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, hashes: np.ndarray) -> Kind:
+        last = len(owner) - n
+        size = counts[owner[: last + 1]]
+        # the first words of windows: those whose n-th word is of the same item, in items that have windows so long
+        at = np.flatnonzero((owner[: last + 1] == owner[n - 1 :]) & ((size >= window) if n == window else (size == n))).astype(np.int32)
+        own = rolled(hashes, n)[at]
+        order = np.argsort(own, kind="stable")
+        own, at = own[order], at[order]
+        first, past, item = starts[at], ends[at + n - 1], owner[at]
+        del order, at
+        # equal neighbours are one window; in the rare run of one hash and several texts, sort by text
+        new = np.ones(len(own), bool)
+        new[1:] = own[1:] != own[:-1]
+        same = np.flatnonzero(~new)
+        text = lambda i: self.bytes[first[i] : past[i]]
+        unlike = [i for i in same.tolist() if text(i) != text(i - 1)]
+        for i in unlike:
+            if new[i]:
+                continue
+            low = int(np.searchsorted(own, own[i], "left"))
+            high = int(np.searchsorted(own, own[i], "right"))
+            by_text = np.array(sorted(range(low, high), key=lambda k: (text(k), k)))
+            first[low:high], past[low:high], item[low:high] = first[by_text], past[by_text], item[by_text]
+            for k in range(low + 1, high):
+                new[k] = text(k) != text(k - 1)
+        begin = np.flatnonzero(new).astype(np.int32)
+        bits = max(16, (16 * len(begin)).bit_length())
+        seen = np.zeros(1 << (bits - 3), np.uint8)
+        low_bits = (own[begin] & np.uint64((1 << bits) - 1)).astype(np.int64)
+        np.bitwise_or.at(seen, low_bits >> 3, (1 << (low_bits & 7)).astype(np.uint8))
+        return Kind(own[begin], first[begin], past[begin], np.append(begin, len(own)).astype(np.int32), item, seen)
+
+    def find(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first words of the runs of n words whose hash occurs, and the first window of that hash."""
+        kind = self.kinds[n]
         if len(words) < n:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         h = rolled(words, n)
-        maybe = np.flatnonzero(self.seen[n][_low(h, self.seen[n])])
-        at = np.searchsorted(self.hashes[n], h[maybe])
-        at[at == len(self.hashes[n])] = 0
-        return maybe[self.hashes[n][at] == h[maybe]]
+        low = (h & np.uint64((len(kind.seen) << 3) - 1)).astype(np.int64)
+        maybe = np.flatnonzero(kind.seen[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+        at = np.searchsorted(kind.hashes, h[maybe])
+        at[at == len(kind.hashes)] = 0
+        hit = kind.hashes[at] == h[maybe]
+        return maybe[hit], at[hit]
+
+    def window(self, n: int, at: int, text: bytes) -> int:
+        """The number of the window of these words, from the first of their hash on; -1 if there is none."""
+        kind = self.kinds[n]
+        h = kind.hashes[at]
+        while at < len(kind.hashes) and kind.hashes[at] == h:
+            if self.bytes[kind.first[at] : kind.past[at]] == text:
+                return at
+            at += 1
+        return -1
+
+    def items_of(self, n: int, at: int) -> set[str]:
+        kind = self.kinds[n]
+        return {x for x in self.names[kind.items[kind.run[at] : kind.run[at + 1]]] if x is not None}
+
+
+def _runs_of(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of items of about CUT_BYTES."""
+    at, size = 0, 0
+    for i, x in enumerate(sizes):
+        size += x
+        if size >= CUT_BYTES:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def _cut(texts: pa.Array, number: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, owners, hashes): texts as words with a space after each, and their words.
+
+    Owners are numbers of items, the first text's being ``number``.
+    """
+    out = [(b"", *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.int32), np.zeros(0, np.uint64))]
+    size = 0
+    for at, _, data, offsets in blocks(texts, CUT_BYTES):
+        folded = FOLD[data]
+        starts, ends = word_bounds(folded != 0, offsets)
+        lens = ends - starts
+        begin = size + np.cumsum(lens + 1) - (lens + 1)
+        out.append((_spaced(folded, starts, ends), begin, begin + lens, (number + at + np.searchsorted(offsets, starts, "right") - 1).astype(np.int32), word_hashes(folded, starts, ends)))
+        size += len(out[-1][0])
+    return b"".join(x[0] for x in out), *[np.concatenate([x[i] for x in out]) for i in range(1, 5)]
 
 
-def _low(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(len(table) - 1)).astype(np.int64)
+def _spaced(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """The words, each with a space after it."""
+    # a word that ends with its text has no byte of its own after it, so bytes are placed one by one
+    lens = ends - starts
+    place = np.repeat(np.cumsum(lens + 1) - (lens + 1) - starts, lens)
+    kept = np.flatnonzero(folded)
+    spaced = np.full(int((lens + 1).sum()), 32, np.uint8)
+    spaced[kept + place] = folded[kept]
+    return spaced.tobytes()
 
 
 def rolled(words: np.ndarray, n: int) -> np.ndarray:
@@ -90,16 +181,17 @@ def scan(column: pa.Array, windows: Windows) -> Iterator[tuple[int, list[tuple[i
         n_words = np.bincount(row, minlength=to - at) if len(row) else np.zeros(to - at, np.int64)
         hashes = word_hashes(folded, starts, ends)
         delta = np.zeros(len(starts) + 1, np.int64)
-        met: dict[int, set[str]] = {}
-        for n in windows.hashes:
-            for i in windows.find(hashes, n).tolist():
+        found: dict[int, set[tuple[int, int]]] = {}
+        for n in windows.kinds:
+            for i, w in zip(*(x.tolist() for x in windows.find(hashes, n)), strict=True):
                 if row[i] != row[i + n - 1]:
                     continue
-                key = b" ".join(folded[starts[k] : ends[k]].tobytes() for k in range(i, i + n))
-                if key in windows.items[n]:
+                text = b"".join(folded[starts[k] : ends[k]].tobytes() + b" " for k in range(i, i + n))[:-1]
+                if (w := windows.window(n, w, text)) >= 0:
                     delta[i] += 1
                     delta[i + n] -= 1
-                    met.setdefault(int(row[i]), set()).update(windows.items[n][key])
+                    found.setdefault(int(row[i]), set()).add((n, w))
+        met = {k: set().union(*(windows.items_of(*x) for x in own)) for k, own in found.items()}
         hit = np.cumsum(delta[:-1]) > 0
         # runs of hit words; a run ends with its row
         edge = np.flatnonzero(hit)
@@ -152,8 +244,9 @@ def find_hits(
     ``window`` words of an item, or the whole item if it has fewer, but some. Null and empty
     texts have no words; an item without an id makes hits but is not listed. Repeated rows
     each get the same result, items repeated under one id count once, an empty table of
-    items hits nothing. All columns of docs are kept; docs may have any others but these three.
+    items hits nothing. All columns of docs are kept, but columns of these three names are replaced.
     """
+    docs = docs.drop("_words", "_runs", "_items")
     run = f"array<struct<{','.join(f'{x}:bigint' for x in RUN)}>>"
     out = docs.withColumns(
         {
@@ -226,31 +319,59 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rem
     """docs without those that hold a window (``remove="documents"``) or without the hit words (``"spans"``).
 
     Clean documents stay as they are. After spans are cut out, the words beside them can
-    make up a window of their own, so the text is scanned again until none is left.
+    make up a window of their own, so the text is scanned again until none is left. Items
+    over the size of a block are worked through block by block, so that one block at a time
+    is broadcast, until a round cuts nothing. Null texts stay null, repeated rows each stay,
+    an empty table of documents gives no rows and one of items changes nothing. All columns
+    are kept, whatever their names.
     """
-    hits = find_hits(docs, benchmark, text, **options)
     if remove == "documents":
-        return hits.where("size(_runs) = 0").select(*[f"`{c}`" for c in docs.columns])
+        own = by_place(docs)
+        hits = find_hits(own, benchmark, own.columns[docs.columns.index(text)], **options)
+        return hits.where("size(_runs) = 0").select(*own.columns).toDF(*docs.columns)
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
-    windows = list(item_blocks(benchmark, options.get("item", "item_id"), options.get("item_text", "text"), options.get("block_bytes", BLOCK_ITEM_BYTES)))
-    sets = docs.sparkSession.sparkContext.broadcast([Windows(x, options.get("window", WINDOW)) for x in windows])
-    at, schema = docs.columns.index(text), docs.schema
+    own = by_place(docs).withColumn("_cut", F.lit(False))
+    at, window = docs.columns.index(text), options.get("window", WINDOW)
+    items = lambda: item_blocks(benchmark, options.get("item", "item_id"), options.get("item_text", "text"), options.get("block_bytes", BLOCK_ITEM_BYTES))
+    clean, ready = 0, None  # passes in a row that cut nothing
+    while True:
+        passes = 0
+        for block, more in _and_whether_more(items()):
+            passes += 1
+            ready = _cut_pass(own if ready is None else checkpoint(ready), Windows(block, window), at)
+            if passes == 1 and not more:  # all items in one pass, which leaves none
+                return ready.drop("_cut").toDF(*docs.columns)
+            ready = checkpoint(ready)
+            clean = 0 if not ready.where("_cut").isEmpty() else clean + 1
+        if clean >= passes:
+            return ready.drop("_cut").toDF(*docs.columns)
+
+
+def _and_whether_more(blocks: Iterator[list]) -> Iterator[tuple[list, bool]]:
+    held = next(blocks, None)
+    for block in blocks:
+        yield held, True
+        held = block
+    if held is not None:
+        yield held, False
+
+
+def _cut_pass(docs: DataFrame, windows: Windows, at: int) -> DataFrame:
+    """docs, whose last column is ``_cut``, without hit words, until none is left; ``_cut`` where there were some."""
+    sent, schema = docs.sparkSession.sparkContext.broadcast(windows), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts, cut = batch.column(at).to_pylist(), [False] * batch.num_rows
             again = list(range(len(texts)))
             while again:
-                runs: dict[int, list] = {}
-                for w in sets.value:
-                    for k, (_, own, _) in zip(again, scan(pa.array([texts[k] for k in again], pa.string()), w), strict=True):
-                        runs.setdefault(k, []).extend(own)
+                runs = {k: own for k, (_, own, _) in zip(again, scan(pa.array([texts[k] for k in again], pa.string()), sent.value), strict=True)}
                 again = [k for k in again if runs[k]]
                 for k in again:
-                    texts[k] = without(texts[k], joined(runs[k]))
+                    texts[k], cut[k] = without(texts[k], joined(runs[k])), True
             columns = list(batch.columns)
-            columns[at] = pa.array(texts, columns[at].type)
+            columns[at], columns[-1] = pa.array(texts, columns[at].type), pa.array(cut, pa.bool_())
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
