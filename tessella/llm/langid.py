@@ -13,14 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import as_bytes, checkpoint, pick
 
 #: Buckets of hashed trigrams; the text model is fitted on at most so many labelled texts of
-#: each language (chosen by a hash of the id), of which each gives so many characters.
-BUCKETS, MOST_TEXTS, MOST_CHARS = 1 << 15, 400, 4_000
+#: each language (chosen by a hash of the id), each whole and of at most so many characters;
+#: the languages are the commonest, at most so many.
+BUCKETS, MOST_TEXTS, MOST_CHARS, MOST_LANGUAGES = 1 << 15, 400, 20_000, 256
+#: Hashes are drawn from a share of all texts in which so many times MOST_TEXTS are expected.
+DRAWN = 2.0
 #: At most so many trigrams' worth of evidence comes from a text: neighbouring ones overlap.
 TEXT_EVIDENCE = 60.0
 #: Pseudo-counts: of evidence tables, and of a parent's share in a host's prior.
@@ -39,15 +42,35 @@ def _codes(data: bytes) -> np.ndarray:
 
 
 def fit_text_model(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, log likelihoods [bucket, language]) from a bounded sample of labelled texts."""
-    rows = pick(docs, key, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
-    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(key).alias("h"), F.substring(text, 1, MOST_CHARS).alias("text"))
-    languages = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]
-    counts = np.full((BUCKETS, len(languages)), 0.05)
-    for i, name in enumerate(languages):
-        for (body,) in rows.where(F.col("lang") == name).orderBy("h").limit(MOST_TEXTS).select("text").collect():
-            counts[:, i] += np.bincount(_codes(body.encode()), minlength=BUCKETS)
-    return languages, np.log(counts / counts.sum(0)).astype(np.float32)
+    """(languages, log likelihoods [bucket, language]) from a bounded sample of labelled texts.
+
+    Rows without a language or a text, empty and very long texts are left out. Texts are
+    chosen by hashes of id and text, so rows that repeat are one, and ties cannot be. The ids
+    come first, from a share of the rows set by each language's count, so that no task
+    gives more than its part; then only the texts chosen are read, whole, and counted where
+    they are. The driver gets one row of counts for each language. No rows: no languages.
+    """
+    rows = pick(docs, key, text, lang).select(F.col(lang).alias("lang"), F.xxhash64(text, key).alias("h"), F.col(text).alias("text"))
+    rows = rows.where("lang is not null and text is not null and text <> ''").where(F.length("text") <= MOST_CHARS)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    known = F.broadcast(sizes.select("lang", (DRAWN * MOST_TEXTS / F.col("n")).alias("share")))
+    place = (F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))).alias("place")  # from 0 to 1
+    drawn = rows.select("lang", "h", place).join(known, "lang").where("place <= share").select("lang", "h").distinct()
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = F.broadcast(drawn.withColumn("i", F.row_number().over(first)).where(F.col("i") <= MOST_TEXTS).select("lang", "h"))  # a few hundred a language
+    own = rows.join(chosen, ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
+
+    def run(batch: pa.Table) -> pa.Table:
+        counts = np.zeros(BUCKETS, np.int64)
+        for body in batch.column("text"):
+            counts += np.bincount(_codes(body.as_py().encode()), minlength=BUCKETS)
+        return pa.table({"lang": batch.column("lang").slice(0, 1), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    found = sorted((r["lang"], r["counts"]) for r in own.groupBy("lang").applyInArrow(run, "lang string, counts binary").collect())
+    if not found:
+        return [], np.zeros((BUCKETS, 0), np.float32)
+    counts = np.stack([np.frombuffer(c, np.int64) for _, c in found], 1) + 0.05
+    return [x for x, _ in found], np.log(counts / counts.sum(0)).astype(np.float32)
 
 
 def host_of(url: Column) -> Column:
