@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, chat, decontaminate, html_blocks, langid, secrets, simhash, sketch, token_scan, toxicity
-from tessella.llm.common import table, written
+from tessella.llm.common import new_path, table, written
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: The id after the last of RANKS, free to end documents with.
@@ -49,7 +49,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scorer = toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    scorer = toxicity.trained(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs.select("doc_id", "text"), scorer)
     return scored.select(
         "doc_id",
@@ -65,10 +65,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    stream = written(token_scan.token_stream(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, END_OF_DOCUMENT), "tokens")
-    counts = token_scan.count_tokens(stream, END_OF_DOCUMENT)
-    return token_scan.keyed(counts, stream).select("doc_id", "n_tokens")
+    """Documents as flat token files without an index in the shared folder, then counted from those files alone."""
+    docs, path = table(spark, sf_dir, "documents"), new_path(spark, "token-files")
+    placed = written(token_scan.write_files(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, END_OF_DOCUMENT, path), "token-places")
+    files = token_scan.files_of(spark, path).join(placed.select("file").distinct(), "file", "left_semi")
+    return token_scan.keyed(token_scan.count_files(files, END_OF_DOCUMENT), placed).select("doc_id", "n_tokens")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

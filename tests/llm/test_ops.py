@@ -258,10 +258,13 @@ def test_escape_is_reversible():
 # 8: token counts
 
 
-def test_token_counts(spark, docs, sample, encoding):
-    stream = token_scan.token_stream(docs, RANKS, PATTERN, queries.END_OF_DOCUMENT, block=64).cache()
-    counts = token_scan.count_tokens(stream, queries.END_OF_DOCUMENT)
-    found = token_scan.keyed(counts, stream).select("doc_id", "n_tokens")
+def test_token_counts(spark, docs, sample, encoding, tmp_path):
+    where = f"file:{tmp_path}/tokens"
+    placed = token_scan.write_files(docs, RANKS, PATTERN, queries.END_OF_DOCUMENT, where).persist()
+    placed.count()
+    (tmp_path / "tokens" / "left-over.bin").write_bytes(b"\x01\x00" * 9)
+    files = token_scan.files_of(spark, where).join(placed.select("file").distinct(), "file", "left_semi")
+    found = token_scan.keyed(token_scan.count_files(files, queries.END_OF_DOCUMENT, block=64), placed).select("doc_id", "n_tokens")
     assert rows_of(found) == by_rows((k, len(bpe.encode_text(encoding, t or ""))) for k, t in sample)
 
 
@@ -279,8 +282,8 @@ def test_token_counts_of_files(spark, tmp_path):
         if tail:
             want.append((name, len(lengths), start, tail))
         (tmp_path / name).write_bytes(np.array(ids + [5] * tail, "<u2").tobytes())
-    found = token_scan.count_tokens(token_scan.blocks_of_files(spark, str(tmp_path), block=32), 99)
-    assert by_rows((r[0].rsplit("/", 1)[1], *r[1:]) for r in found.collect()) == by_rows(want)
+    assert rows_of(token_scan.count_tokens(token_scan.blocks_of_files(spark, str(tmp_path), block=32), 99)) == by_rows(want)
+    assert rows_of(token_scan.count_files(token_scan.files_of(spark, str(tmp_path)), 99, block=32)) == by_rows(want)
 
 
 # 9: bottom-k sketches
