@@ -1,12 +1,13 @@
 """Whole analyses over a paragraph table: corpus, headline contrast, robustness, controls.
 
 A study is a paragraph table with vectors, one case and author whose first passages are the
-reference text, and small dimensions. Each function returns named DataFrames; nothing runs
-until they are written.
+reference text, and small dimensions. Each function returns named DataFrames. What several of
+them share is written once to the checkpoint folder; the rest runs when they are written.
 """
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -36,9 +37,16 @@ class Study:
     held_out: str | None = None
     min_words: int = schema.MIN_WORDS
     min_para: int = schema.MIN_PARA
+    #: rows and reference once they are made, each written once to the checkpoint folder
+    _made: dict[str, DataFrame] = field(default_factory=dict, init=False, repr=False)
     reps: dict[str, int] = field(default_factory=lambda: {"boot": 20_000, "placebo": 4_000, "role": 2_000, "slope": 10_000, "gap": 20_000, "perm": 200})
 
     def rows(self) -> DataFrame:
+        if "rows" not in self._made:
+            self._made["rows"] = cut(self._rows())
+        return self._made["rows"]
+
+    def _rows(self) -> DataFrame:
         own = af.analysis_set(self.paragraphs, self.min_words)
         return own.select(F.col("para_id").alias("id"), F.col("case_key").alias("case"), "year", F.col("opinion_type").alias("role"), "author", unit(F.col("v")).alias("v"), "text")
 
@@ -47,14 +55,30 @@ class Study:
         return self.rows().where(F.col("case") != self.reference_case)
 
     def reference(self) -> DataFrame:
-        own = self.rows().where((F.col("case") == self.reference_case) & (F.col("author") == self.reference_author))
-        return af.with_section(af.reference(own, schema.REFERENCE_SIZE, "id"), self.sections)
+        if "reference" not in self._made:
+            own = self.rows().where((F.col("case") == self.reference_case) & (F.col("author") == self.reference_author))
+            self._made["reference"] = cut(af.with_section(af.reference(own, schema.REFERENCE_SIZE, "id"), self.sections))
+        return self._made["reference"]
 
     def deltas(self) -> DataFrame:
         fast = af.delta_fast(self.members(), self.reference(), self.min_para)
         return fast.select("case", F.round("delta", 9).alias("delta"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df by a reliable checkpoint: what many plans share is computed once and their size stays small."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            where = tempfile.mkdtemp(prefix="tessella-")
+        context.setCheckpointDir(where)
+    return df.checkpoint()
+
+
 def corpus(raw_cases: DataFrame, layout: DataFrame | None = None) -> DataFrame:
     """schema.PARAGRAPHS from nested case records and, for cases without one, laid-out lines (doc = case key)."""
     opinions = sg.archive_opinions(raw_cases)
@@ -98,18 +122,20 @@ def headline(study: Study) -> dict[str, DataFrame]:
 def robustness(study: Study) -> dict[str, DataFrame]:
     """Placebo passages, roles dealt anew, each passage dropped, and quotations taken out and encoded again."""
     members, ref = study.members(), study.reference()
-    s = af.similarities(af.groups(members, study.min_para), ref)
-    observed = study.deltas().agg(F.avg("delta").alias("d")).scalar()
-    profile = af.case_profile(s)
+    s = cut(af.similarities(af.groups(members, study.min_para), ref))
+    observed = cut(study.deltas().agg(F.avg("delta").alias("d"))).scalar()
+    profile = cut(af.case_profile(s))
     roles = rs.role_permutations(af.preference(af.double_centred(s)), study.reps["role"], 1789)
     bare = study.rows().withColumn("text", strip_quotes(F.col("text"))).where(word_count(F.col("text")) >= 20)
-    encoded = en.hashed_encoder(bare, "id", "text").select("id", unit(F.col("embedding").cast("array<double>")).alias("v"))
-    both = en.hashed_encoder(study.rows(), "id", "text").select("id", unit(F.col("embedding").cast("array<double>")).alias("v"))
+    encoded = cut(en.hashed_encoder(bare, "id", "text").select("id", unit(F.col("embedding").cast("array<double>")).alias("v")))
+    both = cut(en.hashed_encoder(study.rows(), "id", "text").select("id", unit(F.col("embedding").cast("array<double>")).alias("v")))
     variants = {"as written": both, "quotes removed": af.overlay(both, encoded, "id").select("id", "v")}
     parts = []
     for name, vectors in variants.items():
         own = study.rows().drop("v").join(vectors, "id").where("v is not null")
+        own = cut(own)
         r = af.with_section(af.reference(own.where((F.col("case") == study.reference_case) & (F.col("author") == study.reference_author)), schema.REFERENCE_SIZE, "id"), study.sections)
+        r = cut(r)
         parts.append(af.delta_fast(own.where(F.col("case") != study.reference_case), r, study.min_para).withColumn("variant", F.lit(name)))
     return {
         "placebo": rs.null_summary(rs.placebo(profile, study.reps["placebo"], 1789), observed, "delta"),
@@ -122,8 +148,8 @@ def robustness(study: Study) -> dict[str, DataFrame]:
 def stance(study: Study) -> dict[str, DataFrame]:
     """The stance direction: leave-one-case-out scores and AUC, opinions got right, and the label permutation null."""
     own = study.rows().where(F.col("case") != study.held_out) if study.held_out else study.rows()
-    lab = di.with_labels(own, study.labels, ["case", "author"]).withColumnRenamed("author", "opinion")
-    scored = di.loo_scores(lab)
+    lab = cut(di.with_labels(own, study.labels, ["case", "author"]).withColumnRenamed("author", "opinion"))
+    scored = cut(di.loo_scores(lab))
     return {
         "scores": scored,
         "auc": inf.auc(di.scored_labels(scored, False)),

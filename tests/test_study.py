@@ -45,7 +45,9 @@ def test_headline(study):
 
 
 def test_robustness_and_stance(study, tmp_path):
-    out = {k: v.collect() for k, v in st.robustness(study).items()}
+    made = st.robustness(study)
+    assert all(len(df._jdf.queryExecution().toString()) < 200_000 for df in made.values())
+    out = {k: v.collect() for k, v in made.items()}
     assert 0 <= out["placebo"][0]["p"] <= 1 and len(out["dropped"]) == 8 and len(out["quotations"]) == 12
     results = st.stance(study)
     assert results["opinions"].first()["n"] == 12 and results["permutations"].count() == 3
