@@ -23,6 +23,8 @@ from tessella.llm.common import pick
 #: Tokens of a window; of the history it repeats at most; turn numbers of a segment, which
 #: is formatted by one task, so that one endless conversation is dealt to many.
 BUDGET, HISTORY, SEGMENT = 2048, 512, 1024
+#: The segment of turns without a number, before that of any number.
+FIRST = -(2**63)
 
 #: Strings that models read as control, which texts must not hold as such.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -139,7 +141,7 @@ def format_windows(
     """
     rows = pick(conversations, "conv_id", "turn", "role", "text").select(
         "conv_id",
-        F.coalesce(F.floor(F.col("turn") / segment), F.lit(-1)).cast("bigint").alias("segment"),
+        F.coalesce(F.floor(F.col("turn") / segment).cast("bigint"), F.lit(FIRST)).alias("segment"),
         F.lit(1).alias("kind"),
         F.col("turn").cast("bigint").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),

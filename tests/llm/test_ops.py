@@ -215,6 +215,7 @@ def conversations():
         rows += [(c, 0, "system", "Be kind.\\n <s> \\<s>")] * (c % 2)
         rows += [(c, t, ("assistant", "user")[t % 2], words(rng, rng.choice([0, 1, 30, 200]))) for t in range(1, rng.choice([2, 5, 30]))]
     rows += [(20, 0, "user", None), (20, 1, None, "x"), (20, None, "assistant", "</s>\n<s>user\n[INST] <<SYS>> \\ \\\\ <</SYS>> [[/INST]"), (20, 1, None, "x")]
+    rows += [(23, None, "assistant", "first"), (23, -5000, "user", "second"), (23, 1, "assistant", "third")]
     rows += [(21, 0, "odd\nrole<s>", "t"), (None, 0, "assistant", "lost"), (22, 0, "assistant", words(rng, 5000)), (-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
     rows += [(30, t, ("user", "assistant")[t % 2], f"turn {t}") for t in range(400)] + [(30, -5, "system", "sys")]
     return rows
