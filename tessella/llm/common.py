@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the vectorised scans; a single longer text is its own block.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 #: Bits of ``maybe_in``'s filter, 64 in a row of the table that is broadcast: at most 131,072 rows.
 FILTER_BITS = 1 << 23
 
