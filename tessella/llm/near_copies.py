@@ -23,9 +23,9 @@ from tessella.llm.simhash import fingerprints, near_duplicates
 
 #: Words of a shingle and the share of shingles in common that make a near copy.
 WIDTH, SIMILARITY = 5, 0.8
-#: Prefixes that may have one shingle before it is put late in the order, how often the order is
-#: looked over, and the most shingles put late. Any order finds all; a good one has few texts meet.
-FEW, LOOKS, MOST_LATE = 16, 2, 200_000
+#: Texts that may have one shingle before it is put late in the order, and the most shingles
+#: put late. Any order finds all; a good one has few texts meet.
+FEW, MOST_LATE = 16, 200_000
 #: Rounds in which each text is compared with one other, before all that are still apart.
 ROUNDS = 2
 
@@ -55,8 +55,13 @@ def _least(n: Column) -> Column:
     return F.ceil(n * SIMILARITY - 1e-6)
 
 
+def _common(n: Column, m: Column) -> Column:
+    """How many shingles near copies of ``n`` and ``m`` have in common at least."""
+    return F.ceil((n + m) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+
+
 def prefixes(rows: DataFrame, key: str, text: str = "text", late: np.ndarray | None = None) -> DataFrame:
-    """(key, n, prefix): the number of shingles and the prefix; no words, no row.
+    """(key, n, w, prefix): the number of shingles, how many of the prefix are late ones, and the prefix; no words, no row.
 
     The order is that of hashes, then the shingles of ``late`` in theirs.
     """
@@ -69,54 +74,62 @@ def prefixes(rows: DataFrame, key: str, text: str = "text", late: np.ndarray | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, rank = sent.value
         for batch in batches:
-            sizes, got = [], []
+            sizes, shared, got = [], [], []
             for words in _words(batch.column(1)):
-                own = shingles(words)
+                own, n_late = shingles(words), 0
                 if len(late):
                     at = np.minimum(np.searchsorted(late, own), len(late) - 1)
                     is_late = late[at] == own
                     own = np.concatenate([own[~is_late], own[is_late][np.argsort(rank[at[is_late]])]])
+                    n_late = int(is_late.sum())
+                most = len(own) - math.ceil(len(own) * SIMILARITY - 1e-6) + 1
                 sizes.append(len(own))
-                got.append(own[: len(own) - math.ceil(len(own) * SIMILARITY - 1e-6) + 1].view(np.int64) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=[key, "n", "prefix"])
+                shared.append(max(0, most - (len(own) - n_late)))
+                got.append(own[:most].view(np.int64) if len(own) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(shared, pa.int32()), pa.array(got, pa.list_(pa.int64()))], names=[key, "n", "w", "prefix"])
 
-    return own.mapInArrow(run, f"`{key}` {kind}, n bigint, prefix array<bigint>").where("prefix is not null")
+    return own.mapInArrow(run, f"`{key}` {kind}, n int, w int, prefix array<bigint>").where("prefix is not null")
 
 
 def shared(made: DataFrame, key: str) -> DataFrame:
-    """(s, x, n): for each shingle that several prefixes have, those texts and their sizes."""
-    own = made.select(F.explode("prefix").alias("s"), F.col(key).alias("x"), "n")
+    """(i, s, x, n, w): for each shingle that several prefixes have, those texts and its place in their prefixes."""
+    own = made.select(F.posexplode("prefix").alias("i", "s"), F.col(key).alias("x"), "n", "w")
     several = own.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
     return own.join(several.select("s"), "s")
 
 
-def crowded(rows: DataFrame, key: str, text: str = "text") -> np.ndarray:
-    """Shingles that more than a few prefixes have, those that most have last; ``MOST_LATE`` at most.
+def counted(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(s, c): how many rows have each shingle; rows of one batch are summed before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(words) for words in _words(batch.column(0))]
+            s, c = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+            for at in range(0, len(s), 1 << 16):
+                to = at + (1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(s[at:to].view(np.int64)), pa.array(c[at:to], pa.int64())], names=["s", "c"])
 
-    With these late in the order, unlike texts with a passage in common don't meet on it.
+    return pick(rows, text).mapInArrow(run, "s bigint, c bigint").groupBy("s").agg(F.sum("c").alias("c"))
+
+
+def crowded(rows: DataFrame, text: str = "text") -> np.ndarray:
+    """Shingles that more than a few texts have, those that most have last; ``MOST_LATE`` at most.
+
+    With these late in the order, a prefix begins with what hardly another text has: unlike
+    texts with a passage in common don't meet on it, nor do copies with many edits.
     Counts stay on the cluster; the driver gets how many shingles each power of two of
     counts has, which sets the bound, and then the shingles over the bound.
     """
     shelf = Shelf(rows.sparkSession)
-    late, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for _ in range(LOOKS):
-        own = prefixes(rows, key, text, late.view(np.uint64)).select(F.explode("prefix").alias("s"))
-        counts = shelf.put(own.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > FEW), "counts")
-        sizes = dict(counts.groupBy(F.floor(F.log2("c")).cast("int").alias("p")).agg(F.count("*").alias("k")).collect())
-        room, least = MOST_LATE // LOOKS, 64
-        while least > 0 and (k := sizes.get(least - 1, 0)) <= room:
-            room, least = room - k, least - 1
-        got = counts.where(F.col("c") >= F.lit(2.0) ** least).toArrow()
-        late = np.concatenate([late, got.column(0).to_numpy().astype(np.int64)])
-        times = np.concatenate([times, got.column(1).to_numpy().astype(np.int64)])
-        order = np.lexsort((late, times))
-        late, times = late[order], times[order]
-        shelf.drop()
-        if got.num_rows == 0:
-            break
-    # a shingle found twice keeps its first place
-    first = np.sort(np.unique(late, return_index=True)[1])
-    return late[first].view(np.uint64)
+    counts = shelf.put(counted(rows, text).where(F.col("c") > FEW), "counts")
+    sizes = dict(counts.groupBy(F.floor(F.log2("c")).cast("int").alias("p")).agg(F.count("*").alias("k")).collect())
+    room, least = MOST_LATE, 64
+    while least > 0 and (k := sizes.get(least - 1, 0)) <= room:
+        room, least = room - k, least - 1
+    got = counts.where(F.col("c") >= F.lit(2.0) ** least).toArrow()
+    late, times = (got.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+    shelf.drop()
+    return late[np.lexsort((late, times))].view(np.uint64)
 
 
 def possible(pairs: DataFrame, made: DataFrame, key: str) -> DataFrame:
@@ -128,7 +141,7 @@ def possible(pairs: DataFrame, made: DataFrame, key: str) -> DataFrame:
     q = made.select(F.col(key).alias("b"), F.col("n").alias("_m"), F.col("prefix").alias("_q"))
     n, m = F.col("_n"), F.col("_m")
     most = F.size(F.array_intersect("_p", "_q")) + F.greatest(n - F.size("_p"), m - F.size("_q"))
-    alike = (F.least(n, m) >= _least(F.greatest(n, m))) & (most >= F.ceil((n + m) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6))
+    alike = (F.least(n, m) >= _least(F.greatest(n, m))) & (most >= _common(n, m))
     return pairs.join(p, "a").join(q, "b").where(alike).select("a", "b")
 
 
@@ -173,8 +186,11 @@ def groups(made: DataFrame, rows: DataFrame, key: str, text: str = "text", known
     """(node, root): the components of all pairs of near copies, and of the known links (a, b).
 
     In a round each text that meets texts of other components is verified with one of those,
-    the one it meets most often of one for each shingle; so a dense group verifies about as
-    many pairs as it has members. Then all pairs that meet and are still apart are verified.
+    the one it meets most often of one for each shingle, in the first round that of most late
+    shingles, which has the fewest edits of its own; so a dense group verifies about as many
+    pairs as it has members. Then all pairs that meet and are still apart are verified, unless
+    the place of a shingle in either order leaves too few after it; the first shingle that near
+    copies share never does.
     """
     shelf = Shelf(made.sparkSession)
     left = shelf.put(shared(made, key), "left")
@@ -182,7 +198,7 @@ def groups(made: DataFrame, rows: DataFrame, key: str, text: str = "text", known
     for n in range(ROUNDS + 1):
         if done is not None:
             done = shelf.put(components(done), "done")
-            left = _apart(left.select("s", "x", "n"), done)
+            left = _apart(left.select("s", "x", "n", "i", "w"), done)
         else:
             left = left.withColumn("root", F.col("x"))
         left = shelf.put(left, "left")
@@ -191,13 +207,16 @@ def groups(made: DataFrame, rows: DataFrame, key: str, text: str = "text", known
             return done if done is not None else _none(made, key)
         if n == ROUNDS:
             break
-        hubs = left.groupBy("s").agg(F.min_by(F.struct("x", "root"), F.xxhash64("x", F.lit(n))).alias("h"))
+        hubs = left.groupBy("s").agg(F.max_by(F.struct("x", "root"), F.struct(F.col("w") if n == 0 else F.lit(0), F.xxhash64("x", F.lit(n)))).alias("h"))
         star = left.join(hubs, "s").where("root <> h.root").groupBy("x", F.col("h.x").alias("y")).agg(F.count("*").alias("k"))
         best = star.groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
         done = _linked(shelf, done, best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), made, rows, key, text)
-    p, q = left.toDF("s", "a", "n", "r"), left.toDF("s", "b", "m", "t")
-    size = F.least("n", "m") >= _least(F.greatest("n", "m"))
-    pairs = p.join(q, "s").where((F.col("a") < F.col("b")) & (F.col("r") != F.col("t")) & size).select("a", "b").distinct()
+    left = left.select("s", "x", "n", "i", "root")
+    p, q = left.toDF("s", "a", "n", "i", "r"), left.toDF("s", "b", "m", "j", "t")
+    n, m = F.col("n"), F.col("m")
+    size = F.least(n, m) >= _least(F.greatest(n, m))
+    place = (F.col("i") <= n - _common(n, m)) & (F.col("j") <= m - _common(n, m))
+    pairs = p.join(q, "s").where((F.col("a") < F.col("b")) & (F.col("r") != F.col("t")) & size & place).select("a", "b").distinct()
     found = components(_linked(shelf, done, pairs, made, rows, key, text))
     shelf.drop()  # components have their own copy of the links
     return found
@@ -207,7 +226,7 @@ def _apart(met: DataFrame, done: DataFrame) -> DataFrame:
     """``met`` with each text's root, without the shingles that only one component has."""
     rooted = met.join(done.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     several = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    return rooted.join(several.select("s"), "s", "left_semi").select("s", "x", "n", "root")
+    return rooted.join(several.select("s"), "s", "left_semi").select("s", "x", "n", "i", "w", "root")
 
 
 def _linked(shelf: Shelf, done: DataFrame | None, pairs: DataFrame, made: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -243,7 +262,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     found = shelf.put(near_duplicates(fingerprints(rows.select(whole.alias("key"), text), "key", text), "key"), "found")
     first = found.where("key = component_id").groupBy("key").agg(F.count("*").alias("_times")).select("key", "key._row", "key._text", "key._body", "_times")
     known = found.select(F.col("key._body").alias("a"), F.col("component_id._body").alias("b")).where("a <> b").distinct()
-    made = shelf.put(prefixes(rows, "_body", text, crowded(rows, "_body", text)).dropDuplicates(["_body"]), "prefixes")
+    made = shelf.put(prefixes(rows, "_body", text, crowded(rows, text)).dropDuplicates(["_body"]), "prefixes")
     near = groups(made, rows, "_body", text, known)
     shelf.drop("prefixes")
     grouped = first.join(near, F.col("_body") == F.col("node"))
