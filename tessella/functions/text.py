@@ -37,6 +37,9 @@ BLOB_HEADER = (
     r",?\s*(?:delivered the opinion|announced the judgment|concurring|dissenting)[^.]{0,400}?\.)"
 )
 TITLE = r"^(?:Mr\.\s+)?(?:Chief\s+)?Justice\s+"
+#: Letters that Unicode's full mapping makes two or three capitals of, and the one capital they have; those without one stay.
+WIDE = "[ßŉǰ\u0390\u03b0և\u1e96-\u1e9a\u1f50\u1f52\u1f54\u1f56\u1f80-\u1faf\u1fb2-\u1fb4\u1fb6\u1fb7\u1fbc\u1fc2-\u1fc4\u1fc6\u1fc7\u1fcc\u1fd2\u1fd3\u1fd6\u1fd7\u1fe2-\u1fe4\u1fe6\u1fe7\u1ff2-\u1ff4\u1ff6\u1ff7\u1ffc\ufb00-\ufb06\ufb13-\ufb17]"
+CAPITALS = {c: c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x10000)) if len(c.upper()) > 1} | {"ß": "ẞ"}
 
 
 def squeeze(t: Column) -> Column:
@@ -44,6 +47,13 @@ def squeeze(t: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
+def upper_each(t: Column) -> Column:
+    """Upper case character by character, so that a text keeps its length."""
+    runs = F.regexp_extract_all(t, F.lit(f"{WIDE}+|[^{WIDE[1:]}+"), F.lit(0))
+    each = F.transform(runs, lambda r: F.when(r.rlike(WIDE), F.translate(r, "".join(CAPITALS), "".join(CAPITALS.values()))).otherwise(F.upper(r)))
+    return F.when(t.rlike(WIDE), F.array_join(each, "")).otherwise(F.upper(t))
+
+
 def dehyphenate(t: Column) -> Column:
     """Without soft hyphens and the space after them, and with words joined that a line's end broke."""
     soft = F.regexp_replace(t, r"(?U)\xAD\s*", "")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessella import schema
 from tessella.functions import stats
-from tessella.functions.text import is_junk, strip_quotes, word_count
+from tessella.functions.text import is_junk, strip_quotes, upper_each, word_count
 from tessella.functions.vectors import doubles, mean_vector, unit
 from tessella.operators import affinity as af
 from tessella.operators import direction as di
@@ -497,7 +497,7 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_nonempty_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("doc_id", "lang", F.upper("text").alias("a"), F.col("text").alias("b"), F.concat("text", "text", "text").alias("c"))
+    rows = documents(spark, sf_dir).select("doc_id", "lang", upper_each(F.col("text")).alias("a"), F.col("text").alias("b"), F.concat("text", "text", "text").alias("c"))
     fields = rows.select("doc_id", F.when(F.col("lang") == "fr", F.col("a")).alias("a"), F.when(F.col("lang") != "en", F.col("b")).alias("b"), "c")
     made = sc.best_field(fields, ["a", "b", "c"])
     return made.select("doc_id", "text_field", F.length("text").cast("bigint").alias("n_chars"))

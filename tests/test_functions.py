@@ -83,3 +83,12 @@ def test_vectors(spark):
     assert all(sum(x * x for x in u) == pytest.approx(1) for u in units)
     assert one(spark, vectors.unit(F.array(F.lit(0.0), F.lit(0.0)))) is None
     assert one(spark, vectors.angle(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0)))) == pytest.approx(90)
+
+
+def test_upper_each_keeps_lengths(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [*text.CAPITALS, "straße ﬁn\nœuvre ŉ ǰ", "ßß", "", "âge 🙂", None]
+    made = run(spark, rows, text.upper_each)
+    assert made == [duckdb.execute("SELECT upper(?)", [t]).fetchall()[0][0] for t in rows]
+    assert [c for c in map(chr, range(0x10000)) if re.match(text.WIDE, c)] == list(text.CAPITALS)
+    assert [t and len(t) for t in made] == [t and len(t) for t in rows]
