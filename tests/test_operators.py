@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -362,3 +363,21 @@ def test_single_class_fold(spark):
     df = spark.createDataFrame(rows, "id int, group int, y int, v array<double>")
     got = tm.leave_one_group_out(df, "v", iterations=5).collect()
     assert {(r["group"], r["prob"], r["predicted"]) for r in got} == {(0, 1.0, 1), (1, 0.0, 0)}
+
+
+def test_vocabulary_is_exact_whatever_the_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{int(x)}" for x in rng.zipf(1.3, 6000) if x < 10**9]
+    rows = [(i % 90, " ".join(words[i * 40 : i * 40 + 40])) for i in range(150)]  # some keys have two texts
+    tf = Counter()
+    for i, t in rows:
+        own = t.split()
+        tf.update((i, x) for x in [*own, *map(" ".join, zip(own, own[1:]))])
+    df, n = Counter(t for _, t in tf), Counter()
+    for (_, t), x in tf.items():
+        n[t] += x
+    docs = spark.createDataFrame(rows, "k int, t string")
+    for buckets, most in ((1 << 22, 30), (64, 5), (1 << 12, 20), (64, 10_000)):  # few buckets: more terms are counted, none is lost
+        monkeypatch.setattr(tm, "FIRST_TRY", 2)
+        want = sorted(((t, df[t], n[t]) for t in df if df[t] >= 3), key=lambda x: (-x[2], x[0]))[:most]
+        assert tm.vocabulary(docs, tm.dealt_words(docs, "k", "t"), "t", 3, most, buckets) == want
