@@ -13,6 +13,8 @@ INDENT, CENTRED = 4.0, 45.0
 HEADING, LEAD, HEADER_SHOWN = 40, 500, 130
 #: Integer keys of a block in ``prefix_sums``.
 BLOCK = 4096
+#: Matches of a text whose places are summed at once.
+PLACES = 512
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,6 +90,21 @@ def matches(rows: DataFrame, text: str, pattern: str, groups: list[int], keys: l
     return each.select(*keys, "i", (end - F.length("x.match")).alias("start"), end.alias("end"), *[f"x.g{i}" for i in range(len(groups))])
 
 
+def places(text: str, pattern: str, group: int) -> Column:
+    """An array of (end, g0): where a text's matches end and one of their groups, without leaving the text's row.
+
+    Lengths are summed over parts of PLACES matches, then inside them, so that many matches do not take their square of steps.
+    """
+    every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    sizes = F.zip_with(F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(every)), F.transform(every, F.length), lambda g, m: g + m)
+    parts = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PLACES).cast("int")), lambda i: F.slice(x, i * PLACES + 1, PLACES))
+    sums = lambda x, first: F.aggregate(x, F.array(first), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
+    bound = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  computed once
+    ends = bound(parts(sizes), lambda p: F.flatten(F.zip_with(F.slice(sums(F.transform(p, total), F.lit(0)), 1, F.size(p)), p, lambda base, own: F.slice(sums(own, base), 2, PLACES))))
+    return F.arrays_zip(ends.alias("end"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g0"))
+
+
 def split_blobs(blobs: DataFrame, key: str = "doc_id", text: str = "text", author: Column | None = None, kind: Column | None = None) -> DataFrame:
     """(key, piece, start, end, author, type, header): texts that bundle several opinions, cut at their headers.
 
@@ -96,19 +113,15 @@ def split_blobs(blobs: DataFrame, key: str = "doc_id", text: str = "text", autho
     """
     author, kind = author if author is not None else F.lit(""), kind if kind is not None else F.lit("majority")
     rows = blobs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"), author.alias("_author"), kind.alias("_kind"))
-    found = matches(rows, "_t", BLOB_HEADER, [1], [key])
-    marks = found.select(key, (F.col("end") - F.length("g0")).alias("start"), F.col("g0").alias("_h"))
-    listed = marks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "_h"))).alias("_m"))
-    joined = rows.join(listed, key, "left")
-    many = F.coalesce(F.size("_m") > 1, F.lit(False))
-    first = F.col("_m")[0]["start"]
+    found = rows.withColumn("_all", F.when(F.col("_t").rlike(BLOB_HEADER), places("_t", BLOB_HEADER, 1)))
+    marks = F.transform("_all", lambda m: F.struct((m["end"] - F.length(m["g0"])).cast("bigint").alias("start"), m["g0"].alias("_h")))
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("string").alias("_h")))
-    typed = F.transform("_m", lambda m: F.struct(m["start"].cast("bigint").alias("start"), m["_h"].alias("_h")))
-    pieces = F.when(~many, whole).when(first > LEAD, F.concat(whole, typed)).otherwise(typed)
-    each = joined.select(key, F.col("_t"), "_author", "_kind", F.posexplode(pieces).alias("piece", "p"))
-    nxt = F.lead("p.start", 1).over(Window.partitionBy(key).orderBy("piece"))
-    start, end = F.col("p.start"), F.coalesce(nxt, F.length("_t").cast("bigint"))
-    header = F.regexp_replace(F.coalesce("p._h", F.substring("_t", 1, HEADER_SHOWN)), r"(?U)\s+", " ")
+    cut = found.withColumn("_m", marks).withColumn("_m", F.when(F.coalesce(F.size("_m") > 1, F.lit(False)), F.when(F.col("_m")[0]["start"] > LEAD, F.concat(whole, "_m")).otherwise(F.col("_m"))).otherwise(whole))
+    ends = F.concat(F.transform(F.slice("_m", 2, 2_000_000_000), lambda m: m["start"]), F.array(F.length("_t").cast("bigint")))
+    lead = F.substring("_t", 1, HEADER_SHOWN)
+    each = cut.select(key, lead.alias("_lead"), "_author", "_kind", F.posexplode(F.arrays_zip(F.col("_m").alias("p"), ends.alias("end"))).alias("piece", "_p")).select(key, "_lead", "_author", "_kind", "piece", "_p.p", "_p.end")
+    start, end = F.col("p.start"), F.col("end")
+    header = F.regexp_replace(F.coalesce("p._h", "_lead"), r"(?U)\s+", " ")
     role = F.regexp_extract(header, r"(delivered the opinion|announced the judgment|concurring[^.]*|dissenting[^.]*)", 1)
     own = F.col("p._h").isNotNull()
     return each.select(

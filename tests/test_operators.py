@@ -381,3 +381,17 @@ def test_vocabulary_is_exact_whatever_the_buckets(spark, monkeypatch):
         monkeypatch.setattr(tm, "FIRST_TRY", 2)
         want = sorted(((t, df[t], n[t]) for t in df if df[t] >= 3), key=lambda x: (-x[2], x[0]))[:most]
         assert tm.vocabulary(docs, tm.dealt_words(docs, "k", "t"), "t", 3, most, buckets) == want
+
+
+def test_split_blobs_stays_in_its_rows(spark):
+    one = "\nJustice Roe, dissenting in part. Some words é🙂.\nMr. Chief Justice Poe delivered the opinion. More"
+    texts = [one * 700, "x" * 600 + one, one[1:], "\nJustice Roe, dissenting. Alone", "no header", "", None]  # more matches than two parts hold
+    made = sg.split_blobs(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = [(r["doc_id"], r["piece"], r["start"], r["end"]) for r in made.orderBy("doc_id", "piece").collect()]
+    want = []
+    for k, t in enumerate(texts):
+        at = [m.start(1) for m in re.finditer(BLOB_HEADER, t or "")]
+        at = ([0] if at[0] > sg.LEAD else []) + at if len(at) > 1 else [0]
+        want += [(k, i, a, b) for i, (a, b) in enumerate(zip(at, [*at[1:], len(t or "")]))]
+    assert got == want
