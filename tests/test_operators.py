@@ -395,3 +395,15 @@ def test_split_blobs_stays_in_its_rows(spark):
         at = ([0] if at[0] > sg.LEAD else []) + at if len(at) > 1 else [0]
         want += [(k, i, a, b) for i, (a, b) in enumerate(zip(at, [*at[1:], len(t or "")]))]
     assert got == want
+
+
+def test_fold_terms_are_those_of_the_other_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 40) if x < 10**9)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, group int, text string")
+    words = tm.dealt_words(df, "id", "text", "group")
+    for buckets in (1 << 12, 64):
+        found = list(tm.fold_terms(words, tm.bucket_sums(df, "text", buckets), "group", [0, 1, 2], 4))
+        for own, terms in enumerate(found):
+            rest = df.where(f"group <> {own}")
+            assert terms == tm.vocabulary(rest, tm.dealt_words(rest, "id", "text"), "text", max_terms=4)
